@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphspark.llm import packing, pii, secrets
+from graphspark.llm import packing, pii, secrets, toxicity
 from graphspark.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing(read_table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,6 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_packing, op7_pii, op8_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_toxicity, op5_packing, op7_pii, op8_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
