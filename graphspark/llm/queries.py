@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphspark.llm import packing, pii, secrets, toxicity
+from graphspark.llm import langid, packing, pii, secrets, toxicity
 from graphspark.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing(read_table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(read_table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read_table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,6 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_toxicity, op5_packing, op7_pii, op8_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_toxicity, op5_packing, op6_langid, op7_pii, op8_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
