@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphspark.llm import langid, packing, pii, secrets, toxicity
+from graphspark.llm import langid, packing, pii, secrets, simhash, toxicity
 from graphspark.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_toxicity, op5_packing, op6_langid, op7_pii, op8_secrets)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_toxicity, op5_packing, op6_langid, op7_pii, op8_secrets, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
