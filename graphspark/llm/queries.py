@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphspark.llm import langid, packing, pii, secrets, simhash, toxicity
+from graphspark.llm import langid, mixing, packing, pii, secrets, simhash, toxicity
 from graphspark.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_toxicity, op5_packing, op6_langid, op7_pii, op8_secrets, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_toxicity, op5_packing, op6_langid, op7_pii, op8_secrets, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
