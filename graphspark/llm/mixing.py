@@ -134,8 +134,8 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Rows are found again by (doc_id, row_hash); exact repeats of a row share its takings.
     """
-    plan = mix(docs, **how).groupBy("doc_id", "row_hash").agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("copies"))
+    plan = mix(docs, **how).groupBy("doc_id", "row_hash").agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("__n"))
     keyed = docs.withColumn("__h", F.xxhash64(F.lit(how.get("seed", SEED)), docs["doc_id"].cast("long"), "source", "text"))
-    plan = plan.where(F.col("copies") > 0).select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__r"), "copies")
+    plan = plan.where(F.col("__n") > 0).select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__r"), "__n")
     joined = keyed.join(plan, (F.col("__h") == F.col("__r")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("__d")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)

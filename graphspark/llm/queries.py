@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphspark.llm import langid, mixing, packing, pii, secrets, simhash, toxicity
+from graphspark.llm import langid, licenses, mixing, packing, pii, secrets, simhash, toxicity
 from graphspark.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # documents have no file names: each one with a notice speaks for its folder
+    return licenses.licence_scan(licenses.document_paths(read_table(spark, sf_dir, "documents")), licence_file=F.lit(True))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
 
@@ -40,6 +46,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_toxicity, op5_packing, op6_langid, op7_pii, op8_secrets, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_mixing, op3_toxicity, op5_packing, op6_langid, op7_pii, op8_secrets, op10_simhash)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle_sql()}
