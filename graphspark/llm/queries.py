@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import ann, langid, licenses, mixing, packing, pii, secrets, simhash, toxicity
+from graphspark.llm import ann, descent, langid, licenses, mixing, packing, pii, secrets, simhash, toxicity
 from graphspark.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_mixing, op3_toxicity, op5_packing, op6_langid, op7_pii, op8_secrets, op9_ann, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_mixing, op3_toxicity, op4_descent, op5_packing, op6_langid, op7_pii, op8_secrets, op9_ann, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle_sql()}
