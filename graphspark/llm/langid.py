@@ -214,3 +214,17 @@ def language(docs: DataFrame, model: tuple[list[str], Params | None] | None = No
 
     bounded_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").select("doc_id", (id_remainder("doc_id", HELD_OUT_MODULUS) == HELD_OUT).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+
+
+def recognised(docs: DataFrame, model: tuple[list[str], Params | None], least: float) -> DataFrame:
+    """The rows of docs, with their columns, whose text has a language of at least this mean probability."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = predict(*sent.value, b.column(text_at).to_pylist())
+            yield b.filter(pa.array([f[0] != UNKNOWN and f[1] >= least for f in found], type=pa.bool_()))
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

@@ -198,3 +198,31 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     by_fp = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """The rows of docs, with their columns, that have the smallest doc_id of their component; of repeated rows one stays.
+
+    Null doc_ids come after all others. A row is known by its doc_id and a hash of its text, so texts are dealt once.
+    """
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark")]
+    rows = docs.select(*key, "text")
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], schema=schema)
+
+    bounded_batches(docs.sparkSession)
+    prints = cut(rows.mapInArrow(run, "doc_id long, mark long, fp long"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    distinct = prints.groupBy("fp").agg(first)
+    roots = connected_components(links(distinct.select("fp"), budget), "a", "b")
+    rooted = distinct.join(roots.select(F.col("node").alias("fp"), "component"), "fp", "left").select("first", F.coalesce("component", "fp").alias("root"))
+    best = cut(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.none", F.coalesce("first.doc_id", F.lit(0)).alias("id"), "first.mark"))
+    same = ["__none", "__id", "__mark"]
+    kept = best.toDF("__none", "__id", "__mark")
+    marked = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__mark": F.xxhash64("text")})
+    # dropping repeated rows needs the same keys together as the join: texts are dealt once
+    return marked.join(kept, same, "left_semi").dropDuplicates(same).select(docs.columns)
