@@ -134,6 +134,14 @@ class Parser:
         self.i += 1
         return self.tokens[self.i - 1].value
 
+    def label(self) -> str:
+        """After a colon reserved words are names too."""
+        if self.now.kind == "keyword":
+            self.i += 1
+            t = self.tokens[self.i - 1]
+            return self.text[t.at : t.end]
+        return self.name()
+
     def number(self) -> int:
         if self.now.kind != "int":
             self.fail("expected a whole number")
@@ -230,7 +238,7 @@ class Parser:
         var = self.name() if self.now.kind == "name" else None
         labels = []
         while self.take(":"):
-            labels.append(self.name())
+            labels.append(self.label())
         props = self.props()
         self.need(")")
         return NodePattern(var, tuple(labels), props)
@@ -269,7 +277,7 @@ class Parser:
             var = self.name() if self.now.kind == "name" else None
             while self.take(":", "|"):
                 self.take(":")
-                types.append(self.name())
+                types.append(self.label())
             if self.take("*"):
                 low = self.number() if self.now.kind == "int" else 1
                 if self.take(".."):
