@@ -64,14 +64,60 @@ def _spread(start: DataFrame, arcs: DataFrame, take_max: bool = True) -> DataFra
         now = new.select("node_id", "color")
 
 
-def scc(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _tarjan(ids: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(node, smallest node of its strong component), without recursion."""
+    near: dict[int, list[int]] = {}
+    for u, v in pairs:
+        near.setdefault(u, []).append(v)
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    path, on, out = [], set(), []
+    for root in ids:
+        if root in index:
+            continue
+        work = [(root, iter(near.get(root, ())))]
+        index[root] = low[root] = len(index)
+        path.append(root)
+        on.add(root)
+        while work:
+            node, ahead = work[-1]
+            for v in ahead:
+                if v not in index:
+                    index[v] = low[v] = len(index)
+                    path.append(v)
+                    on.add(v)
+                    work.append((v, iter(near.get(v, ()))))
+                    break
+                if v in on:
+                    low[node] = min(low[node], index[v])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    part = []
+                    while True:
+                        part.append(path.pop())
+                        on.discard(part[-1])
+                        if part[-1] == node:
+                            break
+                    out += [(n, min(part)) for n in part]
+    return out
+
+
+def scc(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100, small: int = 200_000) -> DataFrame:
     """(node_id, component): strongly connected components, named by their smallest node.
 
     Forward-backward colouring: nodes without an arc in or out are components of their own and go first; the largest id
-    is spread forwards, and within a colour the nodes that reach its owner are one component.
+    is spread forwards, and within a colour the nodes that reach its owner are one component. Graphs of at most `small`
+    nodes and arcs are solved on the driver.
     """
     left = cut(_ids(nodes))
     all_arcs = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct())
+    if small and all_arcs.count() <= small and left.count() <= small:
+        ids = sorted(r[0] for r in left.collect())
+        known = set(ids)
+        return nodes.sparkSession.createDataFrame(_tarjan(ids, [(u, v) for u, v in all_arcs.collect() if u in known and v in known]), "node_id long, component long")
     done = None
     for _ in range(max_rounds):
         if left.isEmpty():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from graphspark.graph import PropertyGraph
 from graphspark.session import cut
 
 DIRECTIONS = ("outgoing", "incoming", "both")
+#: Graphs of at most so many arcs are solved on the driver where an operator says so.
+SMALL = 200_000
 
 
 def arcs(edges: DataFrame, direction: str = "outgoing") -> DataFrame:
@@ -84,28 +87,58 @@ def dfs(g: PropertyGraph, start: int, max_depth: int = 3, reverse: bool = True)
     return out
 
 
-def sssp(g: PropertyGraph, source: int, weighted: bool = True, max_rounds: int = 10_000, target: int | None = None, direction: str = "outgoing", all_nodes: bool = False) -> DataFrame:
+def _small_arcs(hops: DataFrame, small: int) -> list | None:
+    """The arcs (u, v, edge_id, w) if they are `small` at most, else None."""
+    return hops.collect() if small and hops.count() <= small else None
+
+
+def _dijkstra(arcs_: list, source: int, target: int | None) -> list[tuple]:
+    near: dict[int, list] = {}
+    for u, v, e, w in arcs_:
+        near.setdefault(u, []).append((v, e, w))
+    best, done, heap = {source: (0.0, None, None)}, set(), [(0.0, source)]
+    while heap:
+        cost, u = heappop(heap)
+        if u in done:
+            continue
+        done.add(u)
+        if u == target:
+            break
+        for v, e, w in near.get(u, ()):
+            new, old = (cost + w, u, e), best.get(v)
+            if old is None or new[0] < old[0] or (new[0] == old[0] and old[1] is not None and new[1:] < old[1:]):
+                best[v] = new
+                heappush(heap, (new[0], v))
+    return [(n, *b) for n, b in best.items()]
+
+
+def sssp(g: PropertyGraph, source: int, weighted: bool = True, max_rounds: int = 10_000, target: int | None = None, direction: str = "outgoing", all_nodes: bool = False, small: int = SMALL) -> DataFrame:
     """(node_id, cost, prev, prev_edge): least cost of every reachable node, by rounds of relaxation from those that changed.
 
     Ties go to the smaller (prev, prev_edge). With `target`, nodes that already cost more than it are not followed. With
-    `all_nodes`, others come with an infinite cost.
+    `all_nodes`, others come with an infinite cost. Graphs of at most `small` arcs are solved on the driver.
     """
     spark = g.spark
     hops = cut(arcs(g.edges, direction).select("u", "v", "edge_id", (F.col("weight") if weighted else F.lit(1.0)).alias("w")))
-    best = spark.range(source, source + 1).select(F.col("id").alias("node_id"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("prev"), F.lit(None).cast("long").alias("prev_edge"))
-    frontier = best
-    for _ in range(max_rounds):
-        reached = frontier.join(hops, F.col("node_id") == F.col("u")).select(F.col("v").alias("node_id"), F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("prev"), F.col("edge_id").alias("prev_edge")).alias("way"))
-        reached = reached.groupBy("node_id").agg(F.min("way").alias("way")).select("node_id", "way.cost", "way.prev", "way.prev_edge")
-        old = best.select(F.col("node_id"), F.col("cost").alias("was"))
-        better = reached.join(old, "node_id", "left").where(F.col("was").isNull() | (F.col("cost") < F.col("was"))).drop("was")
-        if target is not None:
-            limit = best.where(F.col("node_id") == target).agg(F.min("cost").alias("limit"))
-            better = better.crossJoin(F.broadcast(limit)).where(F.col("limit").isNull() | (F.col("cost") < F.col("limit"))).drop("limit")
-        frontier = cut(better)
-        if frontier.isEmpty():
-            break
-        best = cut(best.join(frontier.select("node_id"), "node_id", "left_anti").unionByName(frontier))
+    near = _small_arcs(hops, small) if max_rounds >= 10_000 else None
+    if near is not None:
+        best = spark.createDataFrame(_dijkstra([tuple(r) for r in near], source, target), "node_id long, cost double, prev long, prev_edge long")
+    else:
+        none = F.lit(None).cast("long")
+        best = spark.range(source, source + 1).select(F.col("id").alias("node_id"), F.lit(0.0).alias("cost"), none.alias("prev"), none.alias("prev_edge"), F.lit(True).alias("fresh"))
+        for _ in range(max_rounds):
+            reached = best.where("fresh").join(hops, F.col("node_id") == F.col("u")).select(F.col("v").alias("node_id"), F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("prev"), F.col("edge_id").alias("prev_edge")).alias("way"))
+            reached = reached.groupBy("node_id").agg(F.min("way").alias("way"))
+            if target is not None:
+                limit = best.where(F.col("node_id") == target).agg(F.min("cost")).first()[0]
+                if limit is not None:
+                    reached = reached.where(F.col("way.cost") < limit)
+            better = F.col("way").isNotNull() & (F.col("cost").isNull() | (F.col("way.cost") < F.col("cost")))
+            pick = lambda c: F.when(better, F.col(f"way.{c}")).otherwise(F.col(c)).alias(c)
+            best = cut(best.drop("fresh").join(reached, "node_id", "full").select("node_id", pick("cost"), pick("prev"), pick("prev_edge"), better.alias("fresh")))
+            if best.where("fresh").isEmpty():
+                break
+        best = best.drop("fresh")
     if all_nodes:
         return g.nodes.select("node_id").join(best, "node_id", "left").withColumn("cost", F.coalesce("cost", F.lit(float("inf"))))
     return best
