@@ -78,7 +78,7 @@ def _json_fields(df: DataFrame, column: str) -> dict[str, str]:
     inner = (_SHAPE.match(shape or "") or [None, ""])[1]
     parts = []
     for i, c in enumerate(inner + ","):
-        depth += (c == "<") - (c == ">")
+        depth += (c in "<(") - (c in ">)")
         if c == "," and depth == 0:
             parts.append(inner[at:i].strip())
             at = i + 1

@@ -260,12 +260,17 @@ def louvain_exact(nodes: DataFrame, edges: DataFrame, passes: int = 100, max_edg
     return nodes.sparkSession.createDataFrame(rows, "node_id long, community long")
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 20, small: int = 200_000) -> DataFrame:
     """(node_id, community): synchronous moves. Each round a hashed half of the nodes moves to its best neighbouring community.
 
     Gains come from sums over (node, community) and (community), so every step is a grouped aggregate; half at a time
-    keeps neighbours from swapping places. Stops after two rounds in which nobody moves.
+    keeps neighbours from swapping places. Stops after two rounds in which nobody moves. Graphs of at most `small` edges
+    take the sequential form.
     """
+    if small and edges.count() <= small:
+        found = louvain_exact(nodes, edges)
+        name = found.groupBy("community").agg(F.min("node_id").alias("name"))
+        return found.join(name, "community").select("node_id", F.col("name").alias("community"))
     ids = cut(_ids(nodes))
     both = edges.select("src", "dst", "weight").where("src <> dst")
     both = cut(both.union(both.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("w")).join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi"))

@@ -47,7 +47,18 @@ def event_edges(events: DataFrame) -> DataFrame:
     return e.withColumn("until", F.lead("ms").over(Window.partitionBy("user_id").orderBy("ms", "event_id"))).withColumn("kind", kind)
 
 
+_graphs: dict[tuple, PropertyGraph] = {}
+
+
 def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The graph of a folder; its plan, not its rows, is kept for the session."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _graphs:
+        _graphs[key] = _star_graph(spark, sf_dir)
+    return _graphs[key]
+
+
+def _star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     t = {n: read_table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")}
     types = spark.range(1).select(F.posexplode(F.array(*map(F.lit, EVENT_TYPES))).alias("key", "name"))
     nodes = (
