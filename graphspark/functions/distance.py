@@ -30,7 +30,7 @@ def cosine(a: Column, b: Column) -> Column:
     """1 - cosine, the cosine kept within [-1, 1]; a zero vector is at distance 1."""
     size = norm(a) * norm(b)
     c = dot(a, b) / F.when(size > 0, size)
-    return F.coalesce(1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)), F.lit(1.0))
+    return F.when(size > 0, 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))).otherwise(1.0)
 
 
 def euclidean(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from graphspark.functions import distance as D
 from graphspark.graph import PropertyGraph, valid_at
-from graphspark.operators import algorithms, linalg, mutate, partition, rag, traverse, vector
+from graphspark.operators import algorithms, gnn, linalg, mutate, partition, rag, traverse, vector
 from graphspark.sources import io
 from graphspark.tables import BASE, EVENT_TYPES, KIND, event_edges, node_id, star_graph
 from graphspark.session import cut, read_table
@@ -551,3 +551,22 @@ def distance_columns(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     b = e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("other"))
     return e.join(b, F.col("vec_id") == F.col("a")).select("a", "b", D.euclidean(F.col("embedding"), F.col("other")).alias("euclidean"))
+
+
+# --- graph neural networks
+
+@query()
+def gnn_train(spark, sf_dir):
+    """Loss by epoch on the similarity graph."""
+    g = similar(spark, sf_dir)
+    labels = g.nodes.select("node_id", F.get_json_object("properties", "$.label").cast("int").alias("label"))
+    m = gnn.train(gnn.gather(g, labels), gnn.Config(epochs=20))
+    return spark.createDataFrame(list(enumerate(m.history)), "epoch int, loss double")
+
+
+@query()
+def gnn_predict(spark, sf_dir):
+    g = similar(spark, sf_dir)
+    labels = g.nodes.select("node_id", F.get_json_object("properties", "$.label").cast("int").alias("label"))
+    m = gnn.train(gnn.gather(g, labels), gnn.Config(epochs=5))
+    return gnn.predict_frame(m, g.nodes.select("node_id", F.col("embedding").alias("features")), g.edges)
