@@ -43,7 +43,7 @@ TREES = 8
 ROUNDS = 6
 #: NN-descent ends when no more than this share of the list places that could matter to the threshold change.
 FEW, MATTERS = 0.002, 0.15
-BLOCK = 1_024
+BLOCK = 256
 AUDIT, RECALL, AUDITS = 1_024, 0.995, 3
 
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float32())])
