@@ -21,7 +21,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
     """(node_id, rank). Unweighted; parallel edges count each; rank without an edge out is dealt to all.
 
     Out-degrees count edges that leave the node set unless `restrict_degree`. One pass over the edges an iteration; the
-    sum of changes, the rank of nodes without edges, and the next ranks come from one written frame.
+    sum of changes, the rank of nodes without edges, and the next ranks come from one written frame. Where neither is
+    asked for, only every `checkpoint_every`-th frame is written.
     """
     ids = cut(_ids(nodes))
     n = ids.count()
@@ -33,11 +34,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
     links = cut(to_set.groupBy("src", "dst").agg(F.count("*").alias("m")).join(degree, "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("share")))
     ranks = ids.join(degree.select(F.col("src").alias("node_id"), F.lit(True).alias("linked")), "node_id", "left").select("node_id", F.lit(1.0 / n).alias("rank"), F.coalesce("linked", F.lit(False)).alias("linked"))
     ranks = cut(ranks)
+    dangling = not ranks.where(~F.col("linked")).isEmpty()
     for i in range(1, max_iterations + 1):
-        loose = ranks.where(~F.col("linked")).agg(F.sum("rank")).first()[0] or 0.0
+        loose = (ranks.where(~F.col("linked")).agg(F.sum("rank")).first()[0] or 0.0) if dangling else 0.0
         came = ranks.join(links, F.col("node_id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("came"))
         new = ranks.join(came, F.col("node_id") == F.col("dst"), "left").select("node_id", ((1 - damping) / n + damping * loose / n + damping * F.coalesce("came", F.lit(0.0))).alias("rank"), "linked", F.col("rank").alias("was"))
-        new = cut(new) if i % checkpoint_every == 0 or tolerance > 0 else new
+        new = cut(new) if i % checkpoint_every == 0 or tolerance > 0 or dangling else new
         done = tolerance > 0 and (new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < tolerance
         ranks = new.select("node_id", "rank", "linked")
         if done:

@@ -15,6 +15,12 @@ from graphspark.session import cut
 DIRECTIONS = ("outgoing", "incoming", "both")
 #: Graphs of at most so many arcs are solved on the driver where an operator says so.
 SMALL = 200_000
+#: Frontiers of at most so many rows are broadcast, so that the arcs stay where they are.
+FRONTIER = 100_000
+
+
+def _sent(frontier: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(frontier) if rows <= FRONTIER else frontier
 
 
 def arcs(edges: DataFrame, direction: str = "outgoing") -> DataFrame:
@@ -54,10 +60,13 @@ def bfs(g: PropertyGraph, start: int | DataFrame, max_depth: int = 3, direction:
     hops = arcs(edges if edges is not None else g.edges, direction).select("u", "v")
     first = start.select(F.col("node_id")) if isinstance(start, DataFrame) else spark.range(start, start + 1).select(F.col("id").alias("node_id"))
     seen = frontier = first.distinct().withColumn("depth", F.lit(0))
+    size = total = frontier.count() if isinstance(start, DataFrame) else 1
     for depth in range(1, max_depth + 1):
-        new = frontier.join(hops, F.col("node_id") == F.col("u")).select(F.col("v").alias("node_id")).distinct().join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = cut(new)
-        if frontier.isEmpty():
+        reached = hops.join(_sent(frontier, size), F.col("node_id") == F.col("u"), "left_semi").select(F.col("v").alias("node_id")).distinct()
+        frontier = cut(reached.join(_sent(seen.select("node_id"), total), "node_id", "left_anti").withColumn("depth", F.lit(depth)))
+        size = frontier.count()
+        total += size
+        if not size:
             break
         seen = seen.union(frontier)
     return seen
@@ -126,8 +135,9 @@ def sssp(g: PropertyGraph, source: int, weighted: bool = True, max_rounds: int =
     else:
         none = F.lit(None).cast("long")
         best = spark.range(source, source + 1).select(F.col("id").alias("node_id"), F.lit(0.0).alias("cost"), none.alias("prev"), none.alias("prev_edge"), F.lit(True).alias("fresh"))
+        fresh = 1
         for _ in range(max_rounds):
-            reached = best.where("fresh").join(hops, F.col("node_id") == F.col("u")).select(F.col("v").alias("node_id"), F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("prev"), F.col("edge_id").alias("prev_edge")).alias("way"))
+            reached = hops.join(_sent(best.where("fresh"), fresh), F.col("node_id") == F.col("u")).select(F.col("v").alias("node_id"), F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("prev"), F.col("edge_id").alias("prev_edge")).alias("way"))
             reached = reached.groupBy("node_id").agg(F.min("way").alias("way"))
             if target is not None:
                 limit = best.where(F.col("node_id") == target).agg(F.min("cost")).first()[0]
@@ -136,7 +146,8 @@ def sssp(g: PropertyGraph, source: int, weighted: bool = True, max_rounds: int =
             better = F.col("way").isNotNull() & (F.col("cost").isNull() | (F.col("way.cost") < F.col("cost")))
             pick = lambda c: F.when(better, F.col(f"way.{c}")).otherwise(F.col(c)).alias(c)
             best = cut(best.drop("fresh").join(reached, "node_id", "full").select("node_id", pick("cost"), pick("prev"), pick("prev_edge"), better.alias("fresh")))
-            if best.where("fresh").isEmpty():
+            fresh = best.where("fresh").count()
+            if not fresh:
                 break
         best = best.drop("fresh")
     if all_nodes:
