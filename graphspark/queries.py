@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql import types as T
 
 from graphspark.functions import distance as D
 from graphspark.graph import PropertyGraph, valid_at
-from graphspark.operators import algorithms, gnn, linalg, mutate, partition, rag, traverse, vector
+from graphspark.operators import algorithms, gnn, linalg, mutate, partition, rag, sealed, traverse, vector
 from graphspark.sources import io
 from graphspark.tables import BASE, EVENT_TYPES, KIND, event_edges, node_id, star_graph
-from graphspark.session import cut, read_table
+from graphspark.session import cut, read_table, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -570,3 +571,151 @@ def gnn_predict(spark, sf_dir):
     labels = g.nodes.select("node_id", F.get_json_object("properties", "$.label").cast("int").alias("label"))
     m = gnn.train(gnn.gather(g, labels), gnn.Config(epochs=5))
     return gnn.predict_frame(m, g.nodes.select("node_id", F.col("embedding").alias("features")), g.edges)
+
+
+# --- sources, sinks and the remaining operators
+
+_SMALL = f"SELECT {nid('Nation', 'n_nationkey')} AS node_id, n_name AS name FROM nation UNION ALL SELECT {nid('Region', 'r_regionkey')}, r_name FROM region UNION ALL SELECT {nid('Supplier', 's_suppkey')}, s_name FROM supplier"
+
+
+def _names(g: PropertyGraph) -> DataFrame:
+    return g.nodes.select("node_id", F.get_json_object("properties", "$.name").alias("name"))
+
+
+@query(_SMALL)
+def cold_parquet(spark, sf_dir):
+    """Written to a partition of a Parquet store and read back."""
+    store = io.ColdStore(spark, f"{shared_dir(spark)}/cold-{uuid.uuid4().hex}")
+    store.write("small", _small(spark, sf_dir))
+    return _names(store.read("small"))
+
+
+@query(_SMALL)
+def cold_json(spark, sf_dir):
+    store = io.ColdStore(spark, f"{shared_dir(spark)}/cold-{uuid.uuid4().hex}", "json")
+    store.write("small", _small(spark, sf_dir))
+    return _names(store.read("small"))
+
+
+@query("SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def json_round_trip(spark, sf_dir):
+    """Exported as JSON lines, imported, and queried."""
+    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    io.write_json(_small(spark, sf_dir), path)
+    g, _ = io.read_json(spark, f"{path}/*", lines=True)
+    return g.query("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.name AS nation, r.name AS region")
+
+
+@query("SELECT s_name AS supplier, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def ingest_frames(spark, sf_dir):
+    """Frames told apart by their columns: labels for nodes, edge_type for edges."""
+    n, s = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "supplier")
+    nodes = n.select((F.col("n_nationkey") + 1).alias("id"), F.lit('["Nation"]').alias("labels"), F.to_json(F.struct(F.col("n_name").alias("name"))).alias("properties"))
+    nodes = nodes.union(s.select(F.col("s_suppkey") + 1001, F.lit('["Supplier"]'), F.to_json(F.struct(F.col("s_name").alias("name")))))
+    edges = s.select((F.col("s_suppkey") + 1001).alias("source"), (F.col("s_nationkey") + 1).alias("target"), F.lit("IN").alias("edge_type"), F.lit("{}").alias("properties"), F.lit(1.0).alias("weight"))
+    g = io.ingest(io.ingest(io.empty(spark), nodes), edges)
+    return g.query("MATCH (s:Supplier)-[:IN]->(n:Nation) RETURN s.name AS supplier, n.name AS nation")
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY ALL", 2)
+def frame_import(spark, sf_dir):
+    """A flat frame: its columns become properties, numbered in their order."""
+    from graphspark.graph import EDGES
+
+    nodes = io.nodes_from_frame(read_table(spark, sf_dir, "customer"), "Customer")
+    g = PropertyGraph.of(nodes, spark.createDataFrame([], EDGES))
+    return g.query("MATCH (c:Customer) RETURN c.c_mktsegment AS segment, count(*) AS n, sum(c.c_acctbal) AS total")
+
+
+@query(f"SELECT {nid('Nation', 'n_nationkey')} AS source, {nid('Region', 'n_regionkey')} AS target, 'IN_REGION' AS edge_type, 1.0::DOUBLE AS weight FROM nation UNION ALL SELECT {nid('Supplier', 's_suppkey')}, {nid('Nation', 's_nationkey')}, 'SUPPLIER_IN', 1.0::DOUBLE FROM supplier")
+def export_edges(spark, sf_dir):
+    return io.export_edges(_small(spark, sf_dir)).drop("edge_id")
+
+
+@query(f"""SELECT {NATION} AS node_id, 0 AS depth, 'Nation' AS labels, 'NATION_3' AS name UNION ALL
+SELECT {nid('Region', 'n_regionkey')}, 1, 'Region', r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey = 3""")
+def export_bfs(spark, sf_dir):
+    return io.export_bfs(_small(spark, sf_dir), NATION, 3, keys=["name"])
+
+
+@query("SELECT (SELECT count(*) FROM nation WHERE n_nationkey <> 3) + (SELECT count(*) FROM supplier WHERE s_nationkey <> 3) AS edges, (SELECT count(*) FROM nation) - 1 AS nations")
+def delete_node(spark, sf_dir):
+    g = mutate.delete_nodes(_small(spark, sf_dir), spark.range(NATION, NATION + 1).select(F.col("id").alias("node_id")))
+    return g.edges.agg(F.count("*").alias("edges")).crossJoin(g.nodes.where(F.array_contains("labels", "Nation")).agg(F.count("*").alias("nations")))
+
+
+@query("SELECT 'SUPPLIER_IN' AS edge_type, count(*) AS n FROM supplier")
+def delete_edges(spark, sf_dir):
+    g, _ = _small(spark, sf_dir).query("MATCH (n:Nation)-[e:IN_REGION]->(r:Region) DELETE e")
+    return g.edges.groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT r_name AS region, 'yes' AS big FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY ALL HAVING count(*) > 0")
+def set_property(spark, sf_dir):
+    g, _ = _small(spark, sf_dir).query('MATCH (n:Nation)-[:IN_REGION]->(r:Region) SET r.big = "yes"')
+    return g.query('MATCH (r:Region) WHERE r.big = "yes" RETURN r.name AS region, r.big AS big')
+
+
+@query("SELECT 'Eve' AS name, 'Dan' AS friend, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) + 2 AS nodes")
+def create_batch(spark, sf_dir):
+    g, ids = mutate.create_nodes(_small(spark, sf_dir), [{"labels": ["Person"], "properties": {"name": "Dan"}}, {"labels": ["Person"], "properties": {"name": "Eve"}}])
+    g, _ = mutate.create_edges(g, [{"src": ids[1], "dst": ids[0], "type": "KNOWS"}])
+    found = g.query("MATCH (a:Person)-[:KNOWS]->(b:Person) RETURN a.name AS name, b.name AS friend")
+    return found.crossJoin(g.nodes.agg(F.count("*").alias("nodes")))
+
+
+@query(f"WITH RECURSIVE {_E}, r AS (SELECT CAST({CUSTOMER} AS BIGINT) AS n, 0 AS d UNION SELECT e.dst, d + 1 FROM r JOIN e ON e.src = n WHERE d < 2) SELECT n AS node_id, min(d) AS depth FROM r GROUP BY n")
+def call_bfs(spark, sf_dir):
+    return star_graph(spark, sf_dir).query(f"CALL algo.bfs({CUSTOMER}, 2)")
+
+
+@query(f"""WITH RECURSIVE {_EV}, u AS (SELECT src AS a, dst AS b FROM ev WHERE {_AT.format(t=T1)} UNION SELECT dst, src FROM ev WHERE {_AT.format(t=T1)}),
+r AS (SELECT CAST({CUSTOMER} AS BIGINT) AS n, 0 AS d UNION SELECT b, d + 1 FROM r JOIN u ON a = n WHERE d < 6) SELECT n AS node_id, min(d)::DOUBLE AS cost FROM r GROUP BY n""")
+def shortest_paths_at(spark, sf_dir):
+    """Hops over the events valid at a moment, both ways; customers and event types are at most four apart."""
+    g = star_graph(spark, sf_dir)
+    g = PropertyGraph(spark, g.node_tables, tuple(t for t in g.edge_tables if t.edge_type == "DID")).at(T1)
+    return traverse.sssp(g, CUSTOMER, weighted=False, direction="both").select("node_id", "cost")
+
+
+@query()
+def dfs_at(spark, sf_dir):
+    g = star_graph(spark, sf_dir)
+    g = PropertyGraph(spark, g.node_tables, tuple(t for t in g.edge_tables if t.edge_type == "DID")).at(T1)
+    return spark.createDataFrame(list(enumerate(traverse.dfs(g, CUSTOMER, 3, reverse=False))), "position int, node_id long")
+
+
+@query(f"SELECT {nid('Nation', 'n_nationkey')} AS node_id FROM nation")
+def sealed_search(spark, sf_dir):
+    key = b"a key of the owner"
+    return sealed.search(sealed.seal(_small(spark, sf_dir).nodes, key), sealed.tag(key, "Nation")).select("node_id")
+
+
+@query()
+def edge_shards(spark, sf_dir):
+    return partition.edge_shards(star_graph(spark, sf_dir).edges_of("PLACED"), 16).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+@query()
+def budget_subgraph(spark, sf_dir):
+    return rag.extract_with_budget(similar(spark, sf_dir), 1, 3, 300).nodes.select("node_id", "pos")
+
+
+@query("SELECT doc_id, 64 AS dimension FROM documents")
+def embed_text(spark, sf_dir):
+    docs = rag.embed(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", rag.hash_embedder(64))
+    return docs.select("doc_id", F.size("embedding").alias("dimension"))
+
+
+@query("""WITH w AS (SELECT date_trunc('hour', ts) AS s, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL)
+SELECT epoch_us(s) // 1000 AS start, event_type, n, round(total, 4) AS total FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""", 4)
+def stream_counts(spark, sf_dir):
+    """Windows of an event stream that its watermark has closed, from one run over what is there."""
+    from graphspark.streaming.events import SCHEMA, windowed_counts
+
+    name = f"counts_{uuid.uuid4().hex}"
+    events = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    running = windowed_counts(events).writeStream.outputMode("append").format("memory").queryName(name).start()
+    running.processAllAvailable()
+    running.stop()
+    return spark.table(name).select(F.unix_millis("start").alias("start"), "event_type", "n", "total")

@@ -75,10 +75,10 @@ def edges_from_frame(df: DataFrame, source: str = "source", target: str = "targe
 
 # --- JSON
 
-def read_json(spark: SparkSession, path: str) -> tuple[PropertyGraph, int]:
-    """A graph from a JSON array (or lines) of {type: node or edge, ...}, and the number of rows of neither type."""
+def read_json(spark: SparkSession, path: str, lines: bool = False) -> tuple[PropertyGraph, int]:
+    """A graph from a JSON array (with `lines`, one object a line) of {type: node or edge, ...}, and the number of rows of neither type."""
     schema = "type string, id long, labels array<string>, properties variant, embedding array<float>, source long, target long, edge_type string, weight double, valid_from long, valid_to long"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("properties", F.to_json("properties"))
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path).withColumn("properties", F.to_json("properties"))
     nodes = node_frame(rows.where("type = 'node'").select("id", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), "properties", "embedding"))
     edges = edge_frame(rows.where("type = 'edge'").select("source", "target", "edge_type", "properties", "weight", "valid_from", "valid_to"))
     return PropertyGraph.of(nodes, edges), rows.where("type is null or type not in ('node', 'edge')").count()

@@ -10,7 +10,8 @@ from graphspark.graph import EdgeTable, NodeTable, PropertyGraph
 from graphspark.session import read_table
 
 KIND = {"Region": 1, "Nation": 2, "Customer": 3, "Supplier": 4, "Part": 5, "Order": 6, "Vec": 7, "EventType": 8}
-#: Fixed order of event types, which have no key of their own.
+#: Fixed orders: of edge types, whose ids are apart, and of event types, which have no key of their own.
+EDGE_TYPES = ("IN_REGION", "CUSTOMER_IN", "SUPPLIER_IN", "PLACED", "CONTAINS", "SUPPLIED_BY", "DID")
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 BASE = 10_000_000_000
 
@@ -28,7 +29,7 @@ def _edges(df: DataFrame, kind: str, src: tuple[str, str], dst: tuple[str, str],
     start, end = valid or (F.lit(None), F.lit(None))
     props = props or {}
     out = df.select(
-        F.monotonically_increasing_id().alias("edge_id"),
+        (F.monotonically_increasing_id() + (EDGE_TYPES.index(kind) << 56)).alias("edge_id"),
         node_id(src[0], F.col(src[1])).alias("src"),
         node_id(dst[0], F.col(dst[1])).alias("dst"),
         (weight if weight is not None else F.lit(1.0)).cast("double").alias("weight"),
