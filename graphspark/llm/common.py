@@ -8,11 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphspark.session import find_package
+
 #: Rows of one Arrow batch; with whole texts this bounds a Python worker's memory.
 BATCH_ROWS = 1024
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    find_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
