@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_right, insort
@@ -35,6 +36,9 @@ POOL_TOKENS = 4_000_000
 #: Tokens that one step group aims at.
 STEP_TOKENS = 32_768
 CLOSING_ID = 0
+#: tiktoken gives up on about a million white-space characters in a row; from half of that on, tokenizers takes the text.
+BLANK_RUN = 500_000
+_BLANKS = re.compile(rf"\s{{{BLANK_RUN}}}")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long"
 ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
@@ -61,7 +65,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ids = _ranked(path) or (lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self.ranked = _ranked(path)
+
+    def ids(self, text: str) -> list[int]:
+        if self.ranked is None or (len(text) >= BLANK_RUN and _BLANKS.search(text)):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.ranked(text)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
