@@ -148,7 +148,9 @@ def _base64(layer: Layer) -> list[Layer]:
             continue
         a, b = m.span()
         if (raw := _inflated(data)) is not None:
-            while (more := _inflated(raw)) is not None:
+            passed = {hashlib.blake2b(data, digest_size=12).digest()}
+            while (mark := hashlib.blake2b(raw, digest_size=12).digest()) not in passed and (more := _inflated(raw)) is not None:
+                passed.add(mark)  # compressed data may unpack to itself
                 raw = more
             if (text := _readable(raw)) is not None:
                 n = len(text)
