@@ -32,7 +32,7 @@ CLASSES = 500
 STEPS, BATCH, TRAIN_WINDOW, RATE = 700, 192, 64, 0.02
 HELD_OUT_MODULUS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHAR = re.compile(r"[^\W\d_]")  # letters, and numbers such as one half
 _BLOCK = 2048
 
 Params = dict[str, np.ndarray]
@@ -184,10 +184,14 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, labelle
 ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("labelled_share", pa.float64())])
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _WORD_CHAR.finditer(text))
+
+
 def predict(names: list[str], p: Params | None, texts: list[str | None]) -> list[tuple[str, float, float]]:
     """(language, mean probability, share of positions with that label) of each text."""
     out = [(UNKNOWN, 0.0, 0.0)] * len(texts)
-    live = [i for i, t in enumerate(texts) if p is not None and t and _LETTER.search(t)]
+    live = [i for i, t in enumerate(texts) if p is not None and t and has_letter(t)]
     at = 0
     while at < len(live):  # about four million bytes at a time, or one longer text
         some, size = [], 0
