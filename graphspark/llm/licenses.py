@@ -67,15 +67,15 @@ def best_templates(lines: DataFrame, least: float = LEAST) -> DataFrame:
     """`lines` (notice, n: its occurrences) with the best template: (notice, licence, score), where one reaches `least`."""
     spark = lines.sparkSession
     tf = cut(_counted(lines, ["notice", "n"], "notice"))
-    total = lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    total = F.lit(lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     df = tf.groupBy("term").agg(F.sum("n").alias("df"))
     ours = _counted(templates(spark), ["licence", "template"], "line")
-    # One row and a fixed table: both broadcasts are bounded.
-    weights = df.join(ours.select("term").distinct(), "term", "full").crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("total")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
+    weights = df.join(ours.select("term").distinct(), "term", "full").select("term", (F.log((1 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
     theirs = tf.join(weights, "term").select("notice", "term", (F.col("tf") * F.col("idf")).alias("w"))
     known = ours.join(weights, "term").select("licence", "template", "term", (F.col("tf") * F.col("idf")).alias("t"))
     norms = known.groupBy("licence", "template").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("t_norm"))
     lengths = theirs.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("w_norm"))
+    # known and norms hold the terms of the fixed templates: both broadcasts are bounded.
     dots = theirs.join(F.broadcast(known), "term").groupBy("notice", "licence", "template").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
     scores = dots.join(F.broadcast(norms), ["licence", "template"]).join(lengths, "notice").select("notice", "licence", F.round(F.col("dot") / (F.col("t_norm") * F.col("w_norm")), 6).alias("score"))
     best = scores.where(F.col("score") >= least).groupBy("notice").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("licence"))).alias("b"))
