@@ -5,8 +5,11 @@ Fingerprints are 64 bits over the XXH64 values (seed 42) of a text's 4-word shin
 are dealt once for each block by that block's value. In each share the fingerprints, rotated so that the block leads,
 form a binary trie: pairs of nodes are traversed together from equal leading blocks down, differing bits add up, and a
 pair of nodes is left as soon as they exceed the budget; small node pairs are compared outright. A share yields only the
-edges of its own spanning forest, so groups of copies never become all their pairs. Shares above `hot` fingerprints are
-split into sub-blocks and every pair of sub-blocks is its own share, which keeps the join whole.
+edges of its own spanning forest, so groups of copies never become all their pairs.
+
+Shares above `hot` fingerprints are dealt again: of budget + 1 blocks of the bits that are left one is equal too, so each
+becomes shares that agree in two blocks, at a fixed cost however many rows there are. What is still above `hot`, such as
+many fingerprints around one, is split by a hash, and every pair of parts is its own share, which keeps the join whole.
 
 A null or empty text has fingerprint zero and links like any other. component_id is the smallest doc_id reachable; null
 doc_ids don't count towards it, and it is null only if the whole component has none. Repeated rows each get their row; an
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.llm.common import bounded_batches
@@ -72,12 +75,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def blocks(budget: int) -> list[tuple[int, int]]:
-    """(first bit from the top, width) of budget + 1 blocks of the 64 bits."""
-    edges = [64 * k // (budget + 1) for k in range(budget + 2)]
+def blocks(budget: int, bits: int = 64) -> list[tuple[int, int]]:
+    """(first bit from the top, width) of budget + 1 blocks of so many bits."""
+    edges = [bits * k // (budget + 1) for k in range(budget + 2)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def _turned(x: np.ndarray, by: int, bits: int) -> np.ndarray:
+    """x with its last `bits` bits rotated to the left."""
+    if not by:
+        return x
+    below = np.uint64((1 << bits) - 1)
+    rest = x & below
+    return (x & ~below) | ((rest << np.uint64(by)) & below) | (rest >> np.uint64(bits - by))
+
+
 class Forest:
     """Smallest reachable index of each of n items."""
 
@@ -150,18 +162,46 @@ def _compare(keys: np.ndarray, al: np.ndarray, ah: np.ndarray, bl: np.ndarray, b
         at = to
 
 
+def _bits(c: str, first: int, width: int) -> Column:
+    """`width` bits of a long from `first` on, counted from the top."""
+    return F.shiftrightunsigned(F.shiftleft(c, first), 64 - width)
+
+
+def _deal(distinct: DataFrame, budget: int, hot: int) -> tuple[DataFrame, int]:
+    """(fp, block, value, sub, subvalue, ways) of shares of two rows or more, and about how many rows; sub is -1 where a
+    share agrees in one block only."""
+    plan = blocks(budget)
+    parts = [F.struct(F.lit(k).cast("int").alias("block"), _bits("fp", a, w).alias("value")) for k, (a, w) in enumerate(plan)]
+    dealt = distinct.select("fp", F.inline(F.array(*parts)))
+    # at most as many rows as blocks have values
+    shares = cut(dealt.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    crowd = shares.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("n") > hot, F.col("n"))), F.lit(0)).alias("hot")).first()
+    once = dealt.join(shares.where(F.col("n") <= hot).select("block", "value"), ["block", "value"])
+    once = once.select("fp", "block", "value", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subvalue"), F.lit(1).alias("ways"))
+    if not crowd["hot"]:
+        return once, crowd["rows"]
+    subs = F.lit(None)
+    for k, (a, w) in enumerate(plan):
+        turned = F.shiftleft("fp", a + w) if a + w < 64 else F.lit(0).cast("long")
+        turned = turned.bitwiseOR(F.shiftleft(_bits("fp", 0, a), w)) if a else turned  # the bits after the block, then those before it
+        sub = [F.struct(F.lit(j).alias("sub"), F.shiftrightunsigned(F.shiftleft(turned, at), 64 - v).alias("subvalue")) for j, (at, v) in enumerate(blocks(budget, 64 - w))]
+        subs = F.when(F.col("block") == k, F.array(*sub)).otherwise(subs)
+    twice = dealt.join(shares.where(F.col("n") > hot).select("block", "value"), ["block", "value"]).select("fp", "block", "value", F.inline(subs))
+    key = ["block", "value", "sub", "subvalue"]
+    ways = twice.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*key, F.ceil(F.col("n") / hot).cast("int").alias("ways"))
+    twice = twice.join(ways, key).select("fp", *key, "ways")
+    return once.union(twice), crowd["rows"] + budget * crowd["hot"]
+
+
 def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints (fp) whose components are those of all links."""
     spark = distinct.sparkSession
-    parts = [(F.lit(k).cast("int").alias("block"), F.shiftrightunsigned(F.shiftleft("fp", a), 64 - w).alias("value")) for k, (a, w) in enumerate(blocks(budget))]
-    dealt = distinct.select("fp", F.explode(F.array(*(F.struct(*p) for p in parts))).alias("p")).select("fp", "p.block", "p.value")
-    crowded = dealt.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    split = F.ceil(F.col("n") / hot).cast("int")
-    shares = dealt.join(crowded.select("block", "value", split.alias("ways")), ["block", "value"])
+    shares, rows = _deal(distinct, budget, hot)
     own = F.pmod(F.xxhash64("fp"), F.col("ways")).cast("int")
     other = F.explode(F.when(F.col("ways") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("ways") - 1))).alias("other")
-    shares = shares.select("fp", "block", "value", own.alias("own"), other).select("fp", "block", "value", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    width = shuffle_width(spark)
+    key = ["block", "value", "sub", "subvalue"]
+    shares = shares.select("fp", *key, own.alias("own"), other).select("fp", *key, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    width = max(shuffle_width(spark), -(-rows // TASK_ROWS))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     plan = blocks(budget)
 
@@ -170,13 +210,19 @@ def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFram
         if not got:
             return
         table = pa.Table.from_batches(got)
-        fp, block, own, lo, hi = (table.column(c).to_numpy() for c in ("fp", "block", "own", "lo", "hi"))
+        fp, block, sub, own, lo, hi = (table.column(c).to_numpy() for c in ("fp", "block", "sub", "own", "lo", "hi"))
         fp = fp.view(np.uint64)
-        share = (block.astype(np.int64) << 48) | (lo.astype(np.int64) << 24) | hi
-        for s in np.unique(share):
-            mine = np.flatnonzero(share == s)
-            first, lead = plan[int(s) >> 48]
-            turned = (fp[mine] << np.uint64(first)) | ((fp[mine] >> np.uint64(64 - first)) if first else np.uint64(0))
+        # shares of one kind are joined at once: their values part them
+        kind = ((sub.astype(np.int64) + 1) * 8 + block) << 48 | lo.astype(np.int64) << 24 | hi
+        for s in np.unique(kind):
+            mine = np.flatnonzero(kind == s)
+            k = int(s) >> 48
+            first, lead = plan[k % 8]
+            turned = _turned(fp[mine], first, 64)
+            if k >= 8:
+                at, more = blocks(budget, 64 - lead)[k // 8 - 1]
+                turned = _turned(turned, at, 64 - lead)
+                lead += more
             order = np.argsort(turned, kind="stable")
             pairwise = (int(s) >> 24) & 0xFFFFFF != int(s) & 0xFFFFFF
             forest = Forest(len(mine))
@@ -186,7 +232,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFram
                 ids = fp[mine][order].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[forest.label[child]])], schema=schema)
 
-    return shares.repartition(width, "block", "value", "lo", "hi").mapInArrow(run, "a long, b long")
+    return shares.repartition(width, *key, "lo", "hi").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
