@@ -72,6 +72,13 @@ def test_packing(spark, odd):
     assert packing.packing(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run", [packing.BLANK_RUN - 1, packing.BLANK_RUN, 1_200_000])
+def test_long_blank_runs(run):
+    encoder = packing.Encoder.of(packing.default_tokenizer())
+    text = "a b" + " " * run + "c"
+    assert encoder.ids(text) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # --- personal data
 
 def naive_pii(text):
@@ -157,6 +164,11 @@ def test_nested_secrets(inner):
 def test_decoding_ends():
     text = "%25" * 200 + base64.b64encode(b"A" * 300).decode()
     assert secrets.find(text)[0] == []
+    itself, secrets._inflated = secrets._inflated, lambda data: data if data[:2] == b"\x1f\x8b" else None
+    try:  # compressed data that unpacks to itself
+        assert secrets.find(base64.b64encode(b"\x1f\x8b" + b"A" * 40).decode())[1] == []
+    finally:
+        secrets._inflated = itself
     bomb = base64.b64encode(gzip.compress(b"0" * 5_000_000)).decode()
     assert len(secrets.find(bomb)[1]) <= 1
 
@@ -208,7 +220,7 @@ def test_simhash(spark, odd):
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 5, 7, 8]
 
 
-@pytest.mark.parametrize("hot", [5, 4096])
+@pytest.mark.parametrize("hot", [5, 40, 4096])
 def test_trie_join_random(spark, hot):
     rng = np.random.default_rng(hot)
     seeds = rng.integers(0, 2**63, 12, dtype=np.uint64)
@@ -332,6 +344,7 @@ def test_language(spark, odd):
     got = by_id(langid.language(odd, model))
     assert {got[k][0]["lang_pred"] for k in (2, 3, 4)} == {"und"} and len(got[5]) == 2 and got[7][0]["lang_pred"] != "und"
     assert langid.language(odd.limit(0), model).count() == 0
+    assert [p[0] == "und" for p in langid.predict(*model, ["\u00bd \u2167 12_", "\u00bd a"])] == [True, False]
     assert {r["lang_pred"] for r in langid.language(odd.drop("lang").selectExpr("*", "cast(null as string) lang")).collect()} == {"und"}
     whole = langid.predict(*model, ["der die das und " * 200])[0]
     pooled = langid.pooled(model[1], [b"der die das und " * 200])[0]
