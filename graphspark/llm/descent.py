@@ -4,11 +4,15 @@ Equal vectors are one class first. A neighbour graph starts from leaves of rando
 bounded blocks, and is refined by NN-descent: every node brings together its neighbours and those it is a neighbour of,
 all pairs among them are compared, and each takes over what beats the end of its list, until few lists change. An audit
 answers a bounded sample by brute force; while it misses linked vectors, more leaves are joined in and the graph is
-refined again. Edges at `threshold` or more, less a margin for single precision, give the groups.
+refined again. Edges at `threshold` or more, less a margin for single precision, give the groups: whatever a leaf or a
+meeting finds counts, as a spanning forest of it, also where k nearer neighbours keep it from the lists.
 
-A list that holds only such edges is saturated and may leave links out. So every group is its members' enlarged list:
-all of its members are compared in double precision, in blocks of BLOCK rows and pairs of blocks, which yields each
-member's number of links and a spanning forest of the true links, not the pairs. Components come from those forests.
+A list that holds only such edges is saturated and may leave links out, which can only lead to other saturated vectors.
+So groups large enough to hold any are held against each other: a member that the triangle inequality lets reach another
+group (by its centre and radius) is compared with all of that group, and a link found joins the two. Then every group is
+its members' enlarged list: all of its members are compared in double precision, in blocks of BLOCK rows and pairs of
+blocks, which yields each member's number of links and a spanning forest of the true links, not the pairs. Components
+come from those forests.
 
 n_links counts other vectors, so members of classes count by their size. Vectors that are null, zero or hold null or
 non-finite components (or are of a rarer dimension than most) link with nothing, nor do they with each other: n_links 0,
@@ -44,6 +48,10 @@ ROUNDS = 6
 #: NN-descent ends when no more than this share of the list places that could matter to the threshold change.
 FEW, MATTERS = 0.002, 0.15
 BLOCK = 256
+#: Centres of groups that one pass over the members of groups is held against.
+CENTRES = 4_096
+#: What single precision may take from an angle, in radians.
+SLACK = 2e-3
 AUDIT, RECALL, AUDITS = 1_024, 0.995, 3
 
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float32())])
@@ -77,12 +85,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _floats(column: pa.ChunkedArray, n: int) -> np.ndarray:
+def _floats(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(n, -1)
 
 
-def leaves(units: DataFrame, count: int, trees: int, seed: int, k: int) -> DataFrame:
-    """Edges (u, v, sim) to the k nearest within a block of a leaf, for `trees` sets of random hyperplanes."""
+def leaves(units: DataFrame, count: int, trees: int, seed: int, k: int, near: float) -> DataFrame:
+    """Edges (u, v, sim) to the k nearest within a block of a leaf, for `trees` sets of random hyperplanes, and a forest of those at `near`."""
     spark = units.sparkSession
     bits = max(0, int(np.ceil(np.log2(max(1, count) / LEAF))))
     schema = pa.schema([("tree", pa.int32()), ("leaf", pa.int64()), ("id", pa.int64()), ("x", pa.binary())])
@@ -103,7 +111,7 @@ def leaves(units: DataFrame, count: int, trees: int, seed: int, k: int) -> DataF
             for a in range(0, len(ids), LEAF_BLOCK):
                 i, x_ = ids[a : a + LEAF_BLOCK], x[a : a + LEAF_BLOCK]
                 if len(i) > 1:
-                    yield _edges(*_best(i, x_, k))
+                    yield _edges(*_best(i, x_, k, near))
 
     placed = units.mapInArrow(place, "tree int, leaf long, id long, x binary")
     crowded = placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_ROWS).select("tree", "leaf", F.ceil(F.col("n") / LEAF_ROWS).cast("int").alias("ways"))
@@ -111,8 +119,8 @@ def leaves(units: DataFrame, count: int, trees: int, seed: int, k: int) -> DataF
     return dealt.repartition(shuffle_width(spark), "tree", "leaf", "salt").sortWithinPartitions("tree", "leaf", "salt", "id").mapInArrow(compare, _EDGES)
 
 
-def _best(ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row the k most similar others, above its own `floor` if given."""
+def _best(ids: np.ndarray, x: np.ndarray, k: int, near: float, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the k most similar others, above its own `floor` if given; and what joins all rows linked at `near`."""
     sim = x @ x.T
     np.fill_diagonal(sim, -2)
     n = min(k, len(ids) - 1)
@@ -120,25 +128,43 @@ def _best(ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = Non
     i = np.repeat(np.arange(len(ids)), n)
     j = j.ravel()
     s = sim[i, j]
+    a, b = np.nonzero(sim >= near)
+    forest = Forest(len(ids))
     if floor is not None:
         ok = s > floor[i]
         i, j, s = i[ok], j[ok], s[ok]
+    ok = s >= near
+    forest.link(i[ok], j[ok])
+    apart = forest.label[a] != forest.label[b]
+    if apart.any():  # links that no row has among its k
+        a, b = a[apart], b[apart]
+        _, first = np.unique(np.minimum(forest.label[a], forest.label[b]) * len(ids) + np.maximum(forest.label[a], forest.label[b]), return_index=True)
+        i, j, s = np.r_[i, a[first]], np.r_[j, b[first]], np.r_[s, sim[a[first], b[first]]]
     return ids[i], ids[j], s
 
 
+def _best_of(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+
+
 def _lists(edges: DataFrame, k: int) -> DataFrame:
     """The k best different neighbours of each node. A node has k from each block it was in, so its rows are bounded."""
-    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    once = _best_of(edges)
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
     return once.withColumn("r", rank).where(F.col("r") <= k).select("u", "v", "sim", "r")
 
 
-def refine(graph: DataFrame, units: DataFrame, k: int) -> DataFrame:
-    """What one local join finds: edges better than the end of the list of their node."""
+def strong(edges: DataFrame, near: float) -> DataFrame:
+    """(u, v) of the edges that join groups."""
+    return edges.where(F.col("sim") >= near).select("u", "v")
+
+
+def refine(graph: DataFrame, units: DataFrame, k: int, near: float) -> DataFrame:
+    """What one local join finds: edges better than the end of the list of their node, and a forest of those at `near`."""
     spark = units.sparkSession
     ends = graph.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("n")).select(F.col("u").alias("id"), F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
     # a node is in its own meeting, in those of its neighbours and of those it is a neighbour of (of the latter k by hash:
-    # the rest meet at other nodes, and what is still missing shows in the audit)
+    # the rest meet at other nodes)
     back = graph.withColumn("b", F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", "v")))).where(F.col("b") <= k)
     meets = graph.select(F.col("u").alias("at"), F.col("v").alias("id")).union(back.select(F.col("v"), F.col("u"))).union(graph.select("u", "u")).distinct()
     brought = meets.join(units.join(ends, "id", "left").select("id", "x", F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor")), "id").select("at", "id", "x", "floor")
@@ -147,7 +173,7 @@ def refine(graph: DataFrame, units: DataFrame, k: int) -> DataFrame:
         out: list[tuple] = []
         for group in _groups(batches, 1):
             if group.num_rows > 1:
-                out.append(_best(group.column(1).to_numpy(), _floats(group.column(2), group.num_rows), k, group.column(3).to_numpy()))
+                out.append(_best(group.column(1).to_numpy(), _floats(group.column(2), group.num_rows), k, near, group.column(3).to_numpy()))
             if len(out) >= 512:
                 yield _edges(*(np.concatenate(c) for c in zip(*out, strict=True)))
                 out = []
@@ -157,10 +183,17 @@ def refine(graph: DataFrame, units: DataFrame, k: int) -> DataFrame:
     return brought.repartition(shuffle_width(spark), "at").sortWithinPartitions("at").mapInArrow(meet, _EDGES)
 
 
-def descend(graph: DataFrame, units: DataFrame, k: int, threshold: float) -> DataFrame:
-    """NN-descent until few list places change among edges near the threshold, lists that are saturated left aside."""
+def descend(graph: DataFrame, units: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """NN-descent until few list places change among edges near the threshold, lists that are saturated left aside.
+
+    With the lists come (u, v) of all edges seen on the way that join groups, whatever their rank.
+    """
+    near = threshold - MARGIN
+    joins = strong(graph, near)
+    graph = cut(_lists(graph, k))
     for _ in range(ROUNDS):
-        better = cut(refine(graph, units, k).groupBy("u", "v").agg(F.max("sim").alias("sim")))
+        better = cut(_best_of(refine(graph, units, k, near)))
+        joins = joins.union(strong(better, near))
         known = better.join(graph.select("u", "v"), ["u", "v"], "left_anti")
         new = cut(_lists(graph.select("u", "v", "sim").union(known), k))
         low = F.min("sim").over(Window.partitionBy("u"))
@@ -168,12 +201,106 @@ def descend(graph: DataFrame, units: DataFrame, k: int, threshold: float) -> Dat
         graph = new
         if close["all"] - close["old"] <= FEW * close["all"]:
             break
-    return graph
+    return graph, joins
+
+
+def _components(joins: DataFrame) -> DataFrame:
+    return connected_components(joins, "u", "v").select(F.col("node").alias("id"), F.col("component").alias("grp"))
+
+
+def grouped(joins: DataFrame, units: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(id, grp) of nodes with an edge near the threshold or above; groups that saturated nodes keep apart are joined."""
+    groups = cut(_components(joins))
+    across = bridges(groups, units, threshold, k)
+    if across is None:
+        return groups
+    return cut(_components(across.select("u", "v").union(groups.select(F.col("id").alias("u"), F.col("grp").alias("v")))))
+
+
+def bridges(groups: DataFrame, units: DataFrame, threshold: float, k: int) -> DataFrame | None:
+    """Links (u, v) between groups of more than k members, smaller ones hold no saturated list; None without such groups.
+
+    Each member has one link to each block of another group that has any. Members that can't reach a group aren't compared.
+    """
+    spark = units.sparkSession
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("size")).where(F.col("size") > k)
+    members = cut(groups.join(sizes, "grp").join(units, "id").select("grp", "size", "id", "x"))
+    sums, spans = pa.schema([("grp", pa.int64()), ("s", pa.list_(pa.float64()))]), pa.schema([("grp", pa.int64()), ("radius", pa.float64())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                grp, at = np.unique(b.column(0).to_numpy(), return_inverse=True)
+                x = _floats(b.column(1), b.num_rows)
+                s = np.zeros((len(grp), x.shape[1]))
+                np.add.at(s, at, x)
+                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(s.tolist(), type=sums.field(1).type)], schema=sums)
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_angle((_floats(b.column(1), b.num_rows) * _centre(matrix(b.column(2)))).sum(axis=1)))], schema=spans)
+
+    added = members.select("grp", "x").mapInArrow(add, "grp long, s array<double>").select("grp", F.posexplode("s")).groupBy("grp", "pos").agg(F.sum("col").alias("s"))
+    sum_of = added.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda p: p["s"]).alias("c"))
+    radii = members.join(sum_of, "grp").select("grp", "x", "c").mapInArrow(span, "grp long, radius double").groupBy("grp").agg(F.max("radius").alias("radius"))
+    centres = cut(sum_of.join(radii, "grp").join(sizes, "grp").select("grp", "size", "c", "radius"))
+    passes = -(-centres.count() // CENTRES)
+    reach = float(np.arccos(threshold)) + SLACK
+    met = pa.schema([("grp", pa.int64()), ("ways", pa.int32()), ("id", pa.int64()), ("x", pa.binary())])
+    found = None
+    for p in range(passes):
+        some = centres.where(salt(F.lit(passes), "grp") == p).collect()
+        if not some:
+            continue
+        grp, size, radius = (np.array([r[n] for r in some]) for n in ("grp", "size", "radius"))
+        sent = spark.sparkContext.broadcast((grp, size, radius, _centre(np.array([r["c"] for r in some]))))
+
+        def visit(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            grp, size, radius, c = sent.value
+            for b in batches:
+                for a in range(0, b.num_rows, 1024):
+                    part = b.slice(a, 1024)
+                    own, n = part.column(0).to_numpy(), part.column(1).to_numpy()
+                    after = (size[None, :] > n[:, None]) | ((size[None, :] == n[:, None]) & (grp[None, :] > own[:, None]))  # the smaller group visits
+                    i, j = np.nonzero(after & (_angle(_floats(part.column(3), part.num_rows) @ c.T) <= radius[None, :] + reach))
+                    yield pa.RecordBatch.from_arrays([pa.array(grp[j]), pa.array((-(-size[j] // BLOCK)).astype(np.int32)), part.column(2).take(pa.array(i)), part.column(3).take(pa.array(i))], schema=met)
+
+        visits = members.mapInArrow(visit, "grp long, ways int, id long, x binary").select("grp", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("block"), F.lit(1).alias("guest"), "id", "x")
+        hosts = members.join(visits.select("grp").distinct(), "grp", "left_semi").select("grp", salt(F.ceil(F.col("size") / BLOCK).cast("int"), "id").alias("block"), F.lit(0).alias("guest"), "id", "x")
+        links = hosts.union(visits).repartition(shuffle_width(spark), "grp", "block").sortWithinPartitions("grp", "block", "guest").mapInArrow(_meeting(threshold - MARGIN), _EDGES)
+        found = cut(links if found is None else found.union(links))
+    return found
+
+
+def _meeting(near: float):
+    """Compares the guests of a block with its members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 2):
+            guest, ids = (group.column(c).to_numpy() for c in (2, 3))
+            x = _floats(group.column(4), group.num_rows)
+            first = int((guest == 0).sum())
+            for a in range(first, len(ids), BLOCK):
+                if not first:
+                    break
+                sim = x[a : a + BLOCK] @ x[:first].T
+                best = sim.argmax(axis=1)
+                top = sim[np.arange(len(best)), best]
+                ok = top >= near
+                yield _edges(ids[a : a + BLOCK][ok], ids[best[ok]], top[ok])
+
+    return run
+
+
+def _centre(sums: np.ndarray) -> np.ndarray:
+    """Sums of unit vectors at length one. Any centre serves; that of vectors that cancel out is the zero vector, at a right angle to all."""
+    size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    return np.divide(sums, size, out=np.zeros_like(sums), where=size > 1e-9)
 
 
-def grouped(graph: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
-    """(id, grp) of nodes with an edge near the threshold or above."""
-    return connected_components(graph.where(F.col("sim") >= threshold - MARGIN), "u", "v").select(F.col("node").alias("id"), F.col("component").alias("grp"))
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
 
 
 def missed(sample: list, units: DataFrame, groups: DataFrame, threshold: float) -> tuple[DataFrame, float]:
@@ -243,17 +370,18 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int
     units = cut(named.select("id", "v").mapInArrow(single, "id long, x binary"))
     count = units.count()
     sample = units.orderBy(F.xxhash64("id"), "id").limit(AUDIT).collect()
-    graph = descend(cut(_lists(leaves(units, count, TREES, 0, k), k)), units, k, threshold)
-    extra = None
+    near = threshold - MARGIN
+    graph, joins = descend(cut(_best_of(leaves(units, count, TREES, 0, k, near))), units, k, threshold)
     for turn in range(1, AUDITS + 1):
-        edges = graph.select("u", "v", "sim") if extra is None else graph.select("u", "v", "sim").union(extra)
-        groups = cut(grouped(edges, units, threshold))
+        groups = grouped(joins, units, threshold, k)
         if not sample:
             break
         extra, recall = missed(sample, units, groups, threshold)
         if recall >= RECALL or turn == AUDITS:
             break
-        graph = descend(cut(_lists(graph.select("u", "v", "sim").union(leaves(units, count, TREES, turn, k)), k)), units, k, threshold)
+        joins = joins.union(strong(extra, near))
+        graph, more = descend(cut(_best_of(graph.select("u", "v", "sim").union(leaves(units, count, TREES, turn, k, near)))), units, k, threshold)
+        joins = joins.union(more)
     links, forest = exact_links(groups.join(named, "id").select("grp", "id", "n", "v"), threshold)
     component = connected_components(forest, "a", "b").select(F.col("node").alias("id"), "component")
     whole = cut(named.join(component, "id", "left").join(links, "id", "left").select(*h, "smallest", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("root")))

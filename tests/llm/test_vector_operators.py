@@ -91,3 +91,37 @@ def test_rotations_keep_lengths():
     want = np.sqrt((x * x).sum(1)) / np.abs(x).max(1) * 16**1.5
     assert np.sqrt((y * y).sum(1)) == pytest.approx(want)
     assert (p.order(x, 1)[:, 0] == p.bucket(x, 1)).all()
+
+
+def between(n, cosine, spread, seed, dim=64):
+    """Two groups of n around centres at a cosine, of which few pairs are links across and no list of eight has one."""
+    rng = np.random.default_rng(seed)
+    a, b = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+    b = cosine * a + np.sqrt(1 - cosine**2) * b
+    x = np.concatenate([c + rng.normal(size=(n, dim)) * spread / np.sqrt(dim) for c in (a, b)]).astype(np.float32)
+    u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    return x, u @ u.T
+
+
+def test_saturated_groups(spark):
+    """Dense groups that only links beyond everyone's nearest eight join."""
+    n = 200
+    x, sim = between(n, 0.945, 0.1, 1)
+    near = (sim >= 0.95) & ~np.eye(2 * n, dtype=bool)
+    np.fill_diagonal(sim, -2)
+    across = np.arange(2 * n)[:, None] // n != np.arange(2 * n)[None, :] // n
+    assert (near & across).sum() > 0 and not np.take_along_axis(across, np.argsort(-sim, axis=1)[:, :8], axis=1).any()
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    got = {r["vec_id"]: r for r in descent.near_duplicates(frame).collect()}
+    assert [got[i]["n_links"] for i in range(2 * n)] == near.sum(1).tolist()
+    assert {r["component_id"] for r in got.values()} == {0}
+
+
+def test_bridges(spark):
+    """The only guard where no leaf and no meeting holds both ends."""
+    n = 200
+    x, sim = between(n, 0.945, 0.1, 1)
+    u = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
+    units = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(u)], "id long, x binary")
+    groups = spark.createDataFrame([(i, i // n * n) for i in range(2 * n)], "id long, grp long")
+    assert {(r["u"] // n, r["v"] // n) for r in descent.bridges(groups, units, 0.95, 8).collect()} in ({(0, 1)}, {(1, 0)})
