@@ -125,3 +125,29 @@ def test_bridges(spark):
     units = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(u)], "id long, x binary")
     groups = spark.createDataFrame([(i, i // n * n) for i in range(2 * n)], "id long, grp long")
     assert {(r["u"] // n, r["v"] // n) for r in descent.bridges(groups, units, 0.95, 8).collect()} in ({(0, 1)}, {(1, 0)})
+
+
+def test_audit_counts_vectors(spark):
+    """Lost pairs show beside a large group that is whole."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.eye(64)[0] + rng.normal(size=(300, 64)) * 0.005, np.repeat(np.eye(64)[1:21], 2, axis=0)]).astype(np.float32)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    units = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, x binary")
+    groups = spark.createDataFrame([(i, 0) for i in range(300)], "id long, grp long")
+    lost, recall = descent.missed(units.collect(), units, groups, 0.95)
+    assert recall == 0 and lost.count() == 40
+
+
+def test_failed_audits_end_in_all_pairs(spark, clusters, monkeypatch):
+    frame, x = clusters
+    monkeypatch.setattr(descent, "AUDITS", 1)
+    monkeypatch.setattr(descent, "WHOLE", 200, raising=False)
+    monkeypatch.setattr(descent, "ROUNDS", 1)
+    monkeypatch.setattr(descent, "grouped", lambda *a: spark.createDataFrame([], "id long, grp long"))
+    got = {r["vec_id"]: r for r in descent.near_duplicates(frame).collect()}
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    near = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    forest = descent.Forest(len(x))
+    i, j = np.nonzero(near)
+    forest.link(i[i < j], j[i < j])
+    assert [(got[k]["n_links"], got[k]["component_id"]) for k in range(len(x))] == list(zip(near.sum(1).tolist(), forest.label.tolist(), strict=True))
