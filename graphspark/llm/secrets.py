@@ -30,12 +30,17 @@ Span = tuple[str, int, int]
 _ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+#: A layer that holds more of these than of all else is not a text.
+_CONTROL = [chr(c) for c in (*range(32), *range(127, 160)) if chr(c) not in "\t\n\f\r"]
 _KEYWORDS = ("passw", "secret", "token", "key")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _NUMBER = re.compile(r"[0-9A-Fa-f]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of one base64 text: single line breaks, indentation after them.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_BREAK = re.compile(r"[\r\n \t]+")
 #: A decompressed layer may be this many times its compressed bytes, plus a megabyte; beyond, it is a bomb, not a secret.
 INFLATE_RATIO = 200
 
@@ -123,7 +128,8 @@ def _readable(data: bytes) -> str | None:
         text = data.decode()
     except UnicodeDecodeError:
         return None
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
+    control = sum(text.count(c) for c in _CONTROL)
+    return text if 2 * control <= len(text) else None
 
 
 def _inflated(data: bytes) -> bytes | None:
@@ -136,36 +142,71 @@ def _inflated(data: bytes) -> bytes | None:
 
 
 def _base64(layer: Layer) -> list[Layer]:
-    """A layer for each base64 run that holds readable or compressed text."""
+    """A layer for each base64 run, of one line or of several, that holds readable or compressed text."""
     out = []
-    for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
-            continue
-        a, b = m.span()
-        if (raw := _inflated(data)) is not None:
-            passed = {hashlib.blake2b(data, digest_size=12).digest()}
-            while (mark := hashlib.blake2b(raw, digest_size=12).digest()) not in passed and (more := _inflated(raw)) is not None:
-                passed.add(mark)  # compressed data may unpack to itself
-                raw = more
-            if (text := _readable(raw)) is not None:
-                n = len(text)
-                out.append(Layer(text, [layer.starts[a]] * n, [max(layer.ends[a:b])] * n, [True] * n, layer.seen))
-        elif (text := _readable(data)) is not None:
-            starts, ends, at, last = [], [], 0, a + len(body)
-            for c in text:
-                n = len(c.encode())
-                starts.append(layer.starts[a + 4 * (at // 3) + at % 3])
-                ends.append(layer.ends[min(last, a + 4 * ((at + n - 1) // 3) + (at + n - 1) % 3 + 2) - 1])
-                at += n
-            out.append(Layer(text, starts, ends, [True] * len(text), layer.seen))
+    for pattern in (_BASE64, _WRAPPED):
+        for m in pattern.finditer(layer.text):
+            run = m.group()
+            if pattern is _BASE64:
+                runs = [(run, range(m.start(), m.end()))]
+            else:
+                runs = _wrapped(run, m.start())
+            for body, places in runs:
+                if (x := _unpacked(layer, body.rstrip("="), places)) is not None:
+                    out.append(x)
+    return out
+
+
+def _wrapped(run: str, start: int) -> list[tuple[str, list[int]]]:
+    """Lines of one width and a last one that may be shorter, joined, with the place of each character."""
+    lines, at = [], 0
+    for m in [*_BREAK.finditer(run), None]:
+        end = m.start() if m else len(run)
+        lines.append((run[at:end], start + at))
+        at = m.end() if m else end
+    out = []
+    first = 0
+    while first < len(lines) - 1:
+        last = first
+        while last + 1 < len(lines) and len(lines[last][0]) == len(lines[first][0]):
+            last += 1
+            if len(lines[last][0]) > len(lines[first][0]):
+                last -= 1
+                break
+        # what is shorter may also be a word that comes after
+        for end in {last, last - (len(lines[last][0]) < len(lines[first][0]))}:
+            if end > first:
+                out.append(("".join(t for t, _ in lines[first : end + 1]), [p + k for t, p in lines[first : end + 1] for k in range(len(t))]))
+        first = max(last, first + 1)
     return out
 
 
+def _unpacked(layer: Layer, body: str, places: range | list[int]) -> Layer | None:
+    if len(body) % 4 == 1:
+        return None
+    try:
+        data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
+    except binascii.Error:
+        return None
+    if (raw := _inflated(data)) is not None:
+        passed = {hashlib.blake2b(data, digest_size=12).digest()}
+        while (mark := hashlib.blake2b(raw, digest_size=12).digest()) not in passed and (more := _inflated(raw)) is not None:
+            passed.add(mark)  # compressed data may unpack to itself
+            raw = more
+        if (text := _readable(raw)) is not None:
+            n = len(text)
+            return Layer(text, [layer.starts[places[0]]] * n, [max(layer.ends[p] for p in places)] * n, [True] * n, layer.seen)
+    elif (text := _readable(data)) is not None:
+        starts, ends, at, last = [], [], 0, len(body)
+        for c in text:
+            n = len(c.encode())
+            starts.append(layer.starts[places[4 * (at // 3) + at % 3]])
+            ends.append(layer.ends[places[min(last, 4 * ((at + n - 1) // 3) + (at + n - 1) % 3 + 2) - 1]])
+            at += n
+        return Layer(text, starts, ends, [True] * len(text), layer.seen)
+    return None
+
+
 def decoded(layer: Layer) -> list[Layer]:
     """What one step of decoding makes of a layer."""
     out = []

@@ -349,3 +349,22 @@ def test_language(spark, odd):
     whole = langid.predict(*model, ["der die das und " * 200])[0]
     pooled = langid.pooled(model[1], [b"der die das und " * 200])[0]
     assert whole[1] == pytest.approx(pooled.max())
+
+
+@pytest.mark.parametrize("lead", ["﻿", " ", "　", "​", "\f"])
+def test_layers_with_odd_characters(lead):
+    run = base64.b64encode(f"{lead}password=hunter2secret".encode()).decode()
+    assert [k for k, _, _ in secrets.find(f"see {run} there")[1]] == ["assign"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+def test_wrapped_base64(end):
+    words = " ".join(f"{k * k * 7919 % 9973:x}" for k in range(90))
+    packed = base64.encodebytes(zlib.compress(f"{words} password=hunter2secret".encode())).decode().replace("\n", end)
+    assert packed.count(end) > 3
+    ((kind, a, b),) = secrets.find(f"mail:{end}{packed}end")[1]
+    assert (kind, a) == ("assign", 5 + len(end)) and b <= 5 + len(end) + len(packed)
+    text = words[:50] + " password=hunter2secret " + words
+    plain = base64.encodebytes(text.encode()).decode().replace("\n", end)
+    ((kind, a, b),) = secrets.find(plain)[1]
+    assert kind == "assign" and end in plain[a:b]
