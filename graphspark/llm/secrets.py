@@ -4,7 +4,7 @@ Base spans come from three patterns over the text as it is. Then a worklist star
 through for URL escapes, Unicode escapes and base64 runs (with compressed data inside); every decoded layer keeps, for
 each of its characters, the source range it came from, is scanned with the same patterns and goes on the worklist
 itself, until no new layer appears. A layer whose text was already seen on its way from the source is a cycle and is
-not followed. Hits that hold a decoded character become added spans over their source range; base spans always stay.
+not followed. Compressed data is inflated to its end, all members of it, in overlapping layers of bounded size. Hits that hold a decoded character become added spans over their source range; base spans always stay.
 
 Offsets are code points, ends exclusive. A null text is an empty one: no spans, and the hash of the empty string. Null or
 repeated doc_ids are handled row by row, an empty table gives no rows, other columns are ignored.
@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,7 @@ _ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?[ ]*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: A layer that holds more of these than of all else is not a text.
-_CONTROL = [chr(c) for c in (*range(32), *range(127, 160)) if chr(c) not in "\t\n\f\r"]
+_CONTROL = [chr(c) for c in (*range(32), *range(127, 160)) if chr(c) not in "\t\n\f\r"] + ["\ufffd"]
 _KEYWORDS = ("passw", "secret", "token", "key")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -41,8 +43,8 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Lines of one base64 text: single line breaks, indentation after them.
 _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _BREAK = re.compile(r"[\r\n \t]+")
-#: A decompressed layer may be this many times its compressed bytes, plus a megabyte; beyond, it is a bomb, not a secret.
-INFLATE_RATIO = 200
+#: Bytes that are inflated at once, characters of one layer of what compressed data holds, and of the next one's overlap.
+PIECE, PART, OVERLAP = 1 << 16, 1 << 20, 1 << 17
 
 
 def scan(text: str) -> list[Span]:
@@ -128,22 +130,91 @@ def _readable(data: bytes) -> str | None:
         text = data.decode()
     except UnicodeDecodeError:
         return None
-    control = sum(text.count(c) for c in _CONTROL)
-    return text if 2 * control <= len(text) else None
+    return text if _legible(text) else None
 
 
-def _inflated(data: bytes) -> bytes | None:
-    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
-        try:
-            return zlib.decompressobj(zlib.MAX_WBITS | 32).decompress(data, INFLATE_RATIO * len(data) + 1_000_000)
-        except zlib.error:
+def _legible(text: str) -> bool:
+    """Not mostly control characters or bytes that aren't UTF-8."""
+    return 2 * sum(text.count(c) for c in _CONTROL) <= len(text)
+
+
+def _compressed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0)
+
+
+def _inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What all members hold, in pieces; data that breaks off ends early, broken data raises."""
+    inflate, rest = zlib.decompressobj(zlib.MAX_WBITS | 32), b""
+    for rest in pieces:
+        while rest:
+            if inflate.eof:
+                rest = rest.lstrip(b"\0")  # padding between members
+                if rest and not b"\x1f\x8b".startswith(rest[:2]) and not _compressed(rest):
+                    return
+                if not rest:
+                    break
+                inflate = zlib.decompressobj(zlib.MAX_WBITS | 32)
+            if out := inflate.decompress(rest, PIECE):
+                yield out
+            rest = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+    while not inflate.eof and (out := inflate.decompress(inflate.unconsumed_tail, PIECE)):
+        yield out
+
+
+def _stage(data: bytes, depth: int) -> Iterator[bytes]:
+    """`data` unpacked `depth` times."""
+    pieces = iter((data,))
+    for _ in range(depth):
+        pieces = _inflated(pieces)
+    return pieces
+
+
+def _look(pieces: Iterator[bytes]) -> tuple[bytes, bytes] | None:
+    """First bytes and hash of a stage; None if nothing of it can be unpacked."""
+    head, mark = b"", hashlib.blake2b(digest_size=12)
+    try:
+        for p in pieces:
+            head = head if len(head) > 2 else head + p[:3]
+            mark.update(p)
+    except zlib.error:
+        if not head:
             return None
-    return None
+    return head, mark.digest()
 
 
-def _base64(layer: Layer) -> list[Layer]:
-    """A layer for each base64 run, of one line or of several, that holds readable or compressed text."""
-    out = []
+def _depth(data: bytes) -> int:
+    """How often `data` can be unpacked until it isn't compressed or was there before: it may unpack to itself."""
+    passed, depth, head = {hashlib.blake2b(data, digest_size=12).digest()}, 0, data
+    while _compressed(head) and (seen := _look(_stage(data, depth + 1))) is not None:
+        depth, (head, mark) = depth + 1, seen
+        if mark in passed:
+            break
+        passed.add(mark)
+    return depth
+
+
+def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
+    """The readable parts of a stage, each with the end of the one before; bytes that aren't UTF-8 end a part."""
+    decoder, held, new = codecs.getincrementaldecoder("utf-8")(), "", 0
+    try:
+        for p in pieces:
+            try:
+                text = decoder.decode(p)
+            except UnicodeDecodeError:
+                decoder.reset()
+                text = p.decode(errors="replace")
+            held, new = held + text, new + len(text)
+            if len(held) >= PART:
+                yield held
+                held, new = held[-OVERLAP:], 0
+    except zlib.error:
+        pass
+    if new:
+        yield held
+
+
+def _base64(layer: Layer) -> Iterator[Layer]:
+    """A layer for each base64 run, of one line or of several, that holds readable text, and layers for compressed text."""
     for pattern in (_BASE64, _WRAPPED):
         for m in pattern.finditer(layer.text):
             run = m.group()
@@ -152,9 +223,7 @@ def _base64(layer: Layer) -> list[Layer]:
             else:
                 runs = _wrapped(run, m.start())
             for body, places in runs:
-                if (x := _unpacked(layer, body.rstrip("="), places)) is not None:
-                    out.append(x)
-    return out
+                yield from _unpacked(layer, body.rstrip("="), places)
 
 
 def _wrapped(run: str, start: int) -> list[tuple[str, list[int]]]:
@@ -181,21 +250,18 @@ def _wrapped(run: str, start: int) -> list[tuple[str, list[int]]]:
     return out
 
 
-def _unpacked(layer: Layer, body: str, places: range | list[int]) -> Layer | None:
+def _unpacked(layer: Layer, body: str, places: range | list[int]) -> Iterator[Layer]:
     if len(body) % 4 == 1:
-        return None
+        return
     try:
         data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
     except binascii.Error:
-        return None
-    if (raw := _inflated(data)) is not None:
-        passed = {hashlib.blake2b(data, digest_size=12).digest()}
-        while (mark := hashlib.blake2b(raw, digest_size=12).digest()) not in passed and (more := _inflated(raw)) is not None:
-            passed.add(mark)  # compressed data may unpack to itself
-            raw = more
-        if (text := _readable(raw)) is not None:
-            n = len(text)
-            return Layer(text, [layer.starts[places[0]]] * n, [max(layer.ends[p] for p in places)] * n, [True] * n, layer.seen)
+        return
+    if depth := _depth(data):
+        start, end = layer.starts[places[0]], max(layer.ends[p] for p in places)
+        for text in _texts(_stage(data, depth)):
+            if _legible(text):
+                yield Layer(text, [start] * len(text), [end] * len(text), [True] * len(text), layer.seen)
     elif (text := _readable(data)) is not None:
         starts, ends, at, last = [], [], 0, len(body)
         for c in text:
@@ -203,35 +269,36 @@ def _unpacked(layer: Layer, body: str, places: range | list[int]) -> Layer | Non
             starts.append(layer.starts[places[4 * (at // 3) + at % 3]])
             ends.append(layer.ends[places[min(last, 4 * ((at + n - 1) // 3) + (at + n - 1) % 3 + 2) - 1]])
             at += n
-        return Layer(text, starts, ends, [True] * len(text), layer.seen)
-    return None
+        yield Layer(text, starts, ends, [True] * len(text), layer.seen)
 
 
-def decoded(layer: Layer) -> list[Layer]:
+def decoded(layer: Layer) -> Iterator[Layer]:
     """What one step of decoding makes of a layer."""
-    out = []
-    if "%" in layer.text and (x := _escapes(layer, _URL, _url)):
-        out.append(x)
-    if ("\\" in layer.text or "&#" in layer.text) and (x := _escapes(layer, _UNICODE, _unicode)):
-        out.append(x)
-    return [x for x in out + _base64(layer) if not x.cycle]
+    if "%" in layer.text and (x := _escapes(layer, _URL, _url)) and not x.cycle:
+        yield x
+    if ("\\" in layer.text or "&#" in layer.text) and (x := _escapes(layer, _UNICODE, _unicode)) and not x.cycle:
+        yield x
+    yield from (x for x in _base64(layer) if not x.cycle)
 
 
 def added(text: str, base: list[Span]) -> list[Span]:
     """Spans that show in decoded layers only."""
-    work, done, out = [Layer(text, range(len(text)), range(1, len(text) + 1), None, frozenset())], set(), set()
-    while work:
-        for layer in decoded(work.pop()):
-            place = (layer.key, layer.starts[0] if layer.text else 0)
-            if place in done:
-                continue
-            done.add(place)
-            work.append(layer)
-            for kind, a, b in scan(layer.text):
-                if any(layer.touched[a:b]):
-                    start, end = min(layer.starts[a:b]), max(layer.ends[a:b])
-                    if not any(k == kind and s <= start and end <= e for k, s, e in base):
-                        out.add((kind, start, end))
+    work = [decoded(Layer(text, range(len(text)), range(1, len(text) + 1), None, frozenset()))]
+    done, out = set(), set()
+    while work:  # the way from the source to one layer: layers come one at a time
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        place = (layer.key, layer.starts[0] if layer.text else 0)
+        if place in done:
+            continue
+        done.add(place)
+        for kind, a, b in scan(layer.text):
+            if any(layer.touched[a:b]):
+                start, end = min(layer.starts[a:b]), max(layer.ends[a:b])
+                if not any(k == kind and s <= start and end <= e for k, s, e in base):
+                    out.add((kind, start, end))
+        work.append(decoded(layer))
     return list(out)
 
 

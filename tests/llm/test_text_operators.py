@@ -368,3 +368,14 @@ def test_wrapped_base64(end):
     plain = base64.encodebytes(text.encode()).decode().replace("\n", end)
     ((kind, a, b),) = secrets.find(plain)[1]
     assert kind == "assign" and end in plain[a:b]
+
+
+def test_inflated_to_the_end():
+    """Beyond any multiple of the input, across layers, and in later members."""
+    secret = b" password=hunter2secret "
+    far = zlib.compress(b" " * 8_000_000 + secret)
+    two = gzip.compress(b"nothing here") + gzip.compress(secret)
+    edge = zlib.compress(b"x " * (secrets.PART // 2 - 6) + secret + "ä".encode() * 100_000)
+    for data in (far, two, edge, gzip.compress(far)):
+        run = base64.b64encode(data).decode()
+        assert secrets.find(f"see {run} there")[1] == [("assign", 4, 4 + len(run))]
