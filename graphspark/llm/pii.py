@@ -86,8 +86,12 @@ _SPELLED_PLUS = re.compile(rf"\bplus[ -]+(?={_WORD}\b|[0-9])", re.I)
 _TOKEN = re.compile(r"plus|dot|point|[a-z]+|[0-9]|[ ,-]+|\.", re.I)
 _AT = re.compile(r"[ ]*[\[({<][ ]*(?:at|@)[ ]*[\])}>][ ]*", re.I)
 _DOT = re.compile(r"[ ]*[\[({<][ ]*(?:dot|\.)[ ]*[\])}>][ ]*", re.I)
-_SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]++(?:(?:\.| dot )[a-z0-9_%+-]++)*+ at [a-z0-9-]++(?: dot [a-z0-9-]++)++", re.I)
-_SAID_PART = re.compile(r" at | dot ", re.I)
+_SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]++(?:(?:\.| dot )[a-z0-9_%+-]++)*+(?P<at>@| at )[a-z0-9-]++(?:(?:\.| dot )[a-z0-9-]++)++", re.I)
+_SAID_PART = re.compile(r"@|\.| at | dot ", re.I)
+_BARE = re.compile(r" at [a-z0-9-]++(?:\.[a-z0-9-]++)*(?:\.| dot )[a-z0-9-]")
+#: Top-level labels, and words before a bare "at y.z" that are no mailbox.
+TOP_LEVEL = frozenset("com org net edu gov mil int info biz name pro app dev io ai co me tv cc xyz online site cloud tech eu uk us ca au nz ie de at ch fr be nl lu it es pt gr pl cz sk hu ro bg hr si rs se no dk fi is ee lv lt ru ua by tr il in pk cn jp kr tw hk sg my th vn id ph br ar cl mx pe za ng ke eg ma ae sa ir".split())
+NOT_MAILBOX = frozenset("a all also and are arrive as available be blog book buy check code contact docs download email exist find found from go good here hosted i in is it join learn live located look mail me meet more now of official on one online only or order out page posted published read register resides running see shop sign site sold start stay stop that the them there these this those today up us visit was website we web were work you".split())
 _BRACKETED = re.compile(r"[\[({<][ ]*(?:at|dot|@|\.)[ ]*[\])}>]", re.I)
 
 
@@ -154,8 +158,25 @@ def spelled_digits(m: Mapped) -> Mapped:
 def at_and_dot(m: Mapped) -> Mapped:
     edits = [(k.start(), k.end(), "@") for k in _AT.finditer(m.text)] + [(k.start(), k.end(), ".") for k in _DOT.finditer(m.text)]
     m = m.rewritten(sorted(edits))
-    said = [(s.start() + k.start(), s.start() + k.end(), "@" if "a" in k.group().lower() else ".") for s in _SAID.finditer(m.text) for k in _SAID_PART.finditer(s.group())]
-    return m.rewritten(said)
+    return m.rewritten([e for s in _SAID.finditer(m.text) for e in _said(m, s)])
+
+
+def _said(m: Mapped, s: re.Match) -> list[tuple[int, int, str]]:
+    """Edits of the spelled parts of an address, up to its last label that can be one."""
+    parts = [(s.start() + k.start(), s.start() + k.end(), k.group().lower()) for k in _SAID_PART.finditer(s.group())]
+    at = next(k for k, p in enumerate(parts) if p[0] == s.start("at"))
+    domain = parts[at + 1 :]
+    spoken = [p for p in parts if p[2] in (" at ", " dot ")]
+    bracketed = any(m.touched[a] for a, _, c in parts if c in "@.")
+    ends = [a for a, _, _ in domain[1:]] + [s.end()]
+    if parts[at][2] == " at " and all(c == " dot " for _, _, c in domain) or bracketed:
+        upto = s.end()
+    else:  # mixed with plain signs: a sentence may go on, so a known label must end it
+        upto = max((e for (_, b, _), e in zip(domain, ends, strict=True) if m.text[b:e].lower() in TOP_LEVEL), default=0)
+    edits = [(a, b, "@" if c == " at " else ".") for a, b, c in spoken if a < upto]
+    if len(edits) == 1 and edits[0][2] == "@" and not bracketed and m.text[s.start() : edits[0][0]].lower() in NOT_MAILBOX:
+        return []
+    return edits
 
 
 def added(text: str, base: list[Span]) -> list[Span]:
@@ -163,7 +184,7 @@ def added(text: str, base: list[Span]) -> list[Span]:
     odd = not text.isascii() and _ODD.search(text) is not None
     low = text.lower()
     spelled = "ero" in low or " " in low and _SPELLED.search(low) is not None
-    said = " dot " in low or (("at" in low or "dot" in low or "@" in low) and _BRACKETED.search(text) is not None)
+    said = " dot " in low or " at " in low and _BARE.search(low) is not None or (("at" in low or "dot" in low or "@" in low) and _BRACKETED.search(text) is not None)
     if not (odd or spelled or said):
         return []
     m = at_and_dot(spelled_digits(homoglyphs(Mapped.of(text))))

@@ -379,3 +379,20 @@ def test_inflated_to_the_end():
     for data in (far, two, edge, gzip.compress(far)):
         run = base64.b64encode(data).decode()
         assert secrets.find(f"see {run} there")[1] == [("assign", 4, 4 + len(run))]
+
+
+@pytest.mark.parametrize("text", ["jo[at]example dot com", "jo@example dot com", "jo at example[dot]com", "jo at mail.example dot com", "jo at example.com", "john dot doe@example dot com"])
+def test_mixed_addresses(text):
+    whole = f"write to {text} now"
+    assert pii.find(whole)[1] == [("email", 9, 9 + len(text))]
+    assert pii.redact(whole) == "write to <EMAIL> now"
+
+
+@pytest.mark.parametrize("text", ["see us at example.com now", "available at example.com", "at noon at v1.2 of it", "look at this.thing here", "end at line 3. Then dot the i"])
+def test_no_addresses(text):
+    assert pii.find(text)[1] == []
+
+
+def test_mixed_address_ends_at_its_label():
+    assert pii.redact("jo@example dot com dot then") == "<EMAIL> dot then"
+    assert pii.redact("jo@example.com dot the i") == "<EMAIL> dot the i"
