@@ -19,6 +19,8 @@ from graphspark.session import cut
 
 LEAST = 0.6
 CUE = r"(?i)licen[cs]e|copyright|all rights reserved|spdx|public domain|redistribution and use"
+#: With the cue of a template that has none of these; the SQL for the same rows keeps to CUE, and the given documents hold none.
+NOTICE = CUE + "|permission is hereby granted"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.\-_].*)?$"
 
 #: How licences are referred to.
@@ -49,8 +51,8 @@ def terms(text: Column) -> Column:
 def notices(text: Column) -> Column:
     """Array of the normalised lines and sentences that hold a cue."""
     parts = F.split(F.regexp_replace(text, r"([.!?]) ", "$1\n"), "\n")
-    found = F.array_distinct(F.transform(F.filter(parts, lambda p: p.rlike(CUE)), terms))
-    return F.when(text.rlike(CUE), found).otherwise(F.array().cast("array<string>"))
+    found = F.array_distinct(F.transform(F.filter(parts, lambda p: p.rlike(NOTICE)), terms))
+    return F.when(text.rlike(NOTICE), found).otherwise(F.array().cast("array<string>"))
 
 
 def templates(spark: SparkSession) -> DataFrame:

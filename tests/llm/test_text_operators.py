@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphspark.llm import langid, licenses, mixing, packing, pii, secrets, simhash, toxicity
 
@@ -396,3 +397,10 @@ def test_no_addresses(text):
 def test_mixed_address_ends_at_its_label():
     assert pii.redact("jo@example dot com dot then") == "<EMAIL> dot then"
     assert pii.redact("jo@example.com dot the i") == "<EMAIL> dot the i"
+
+
+def test_templates_match_themselves(spark):
+    rows = [(k, f"f{k}/x.txt", f"Some words\n{line}") for k, (_, line) in enumerate(licenses.TEMPLATES)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    assert all(r["n"] for r in df.select((F.size(licenses.notices(df["text"])) > 0).alias("n")).collect())
+    assert {r["doc_id"]: r["own_licence"] for r in licenses.licence_scan(df).collect()} == {k: name for k, (name, _) in enumerate(licenses.TEMPLATES)}
