@@ -19,7 +19,7 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language."""
+    """Documents with a recognised language; if no row has a language to learn from, all that hold a letter."""
     names, params = langid.train(docs)
     return langid.recognised(docs.select(COLUMNS), (names, params), LEAST_SCORE)
 

@@ -221,13 +221,20 @@ def language(docs: DataFrame, model: tuple[list[str], Params | None] | None = No
 
 
 def recognised(docs: DataFrame, model: tuple[list[str], Params | None], least: float) -> DataFrame:
-    """The rows of docs, with their columns, whose text has a language of at least this mean probability."""
+    """The rows of docs, with their columns, whose text has a language of at least this mean probability.
+
+    Without a model, as nothing was there to learn from, those whose text holds a letter.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = predict(*sent.value, b.column(text_at).to_pylist())
+            texts = b.column(text_at).to_pylist()
+            if sent.value[1] is None:
+                yield b.filter(pa.array([bool(t) and has_letter(t) for t in texts], type=pa.bool_()))
+                continue
+            found = predict(*sent.value, texts)
             yield b.filter(pa.array([f[0] != UNKNOWN and f[1] >= least for f in found], type=pa.bool_()))
 
     bounded_batches(docs.sparkSession)

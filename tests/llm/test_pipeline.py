@@ -36,3 +36,9 @@ def test_stages(spark, tmp_path):
             assert total == len(set(was))
     assert corpus_pipeline.run(spark, sf).count() > 0
     assert langid.UNKNOWN == "und"
+
+
+def test_language_without_labels(spark):
+    """A null lang column leaves nothing to learn from and empties nothing."""
+    docs = spark.createDataFrame([(1, "clean text", None, "src0", 10), (2, None, None, "src0", 0), (3, "123 456", None, "src0", 7), (4, "", None, "src0", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
