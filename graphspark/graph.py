@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,17 +15,42 @@ EDGES = "edge_id long, src long, dst long, edge_type string, properties string,
 DEFAULT_EDGE_TYPE = "RELATED_TO"
 
 
+#: Ids up to so many are pushed to a scan as values; more are joined.
+FEW_IDS = 256
+#: Tables of changes that a snapshot holds before they are put together.
+CHANGES = 8
+
+
+@dataclass(frozen=True)
+class Key:
+    """How ids come from a column of the source: `base` + its value, which is below `size`."""
+
+    column: str
+    base: int
+    size: int
+
+    def holds(self, node: int) -> bool:
+        return self.base <= node < self.base + self.size
+
+    def among(self, ids: Iterable[int]) -> Column:
+        """A filter on the source's own column, which the scan can take over."""
+        return F.col(self.column).isin(*(i - self.base for i in ids if self.holds(i)))
+
+
 @dataclass(frozen=True)
 class NodeTable:
     """Nodes of one label set (labels), or of any (labels None: then df has a labels column).
 
     df: node_id and property columns named as in `props` (property name -> column), with an embedding column if `embedded`.
+    key: where node_id comes from, if known; df then has that column. change: rows added or changed after the first snapshot.
     """
 
     df: DataFrame
     props: dict[str, str]
     labels: tuple[str, ...] | None = None
     embedded: bool = False
+    key: Key | None = None
+    change: bool = False
 
     def canonical(self) -> DataFrame:
         labels = F.col("labels") if self.labels is None else F.array(*map(F.lit, self.labels))
@@ -46,6 +71,10 @@ class EdgeTable:
     edge_type: str | None = None
     src_labels: tuple[str, ...] | None = None
     dst_labels: tuple[str, ...] | None = None
+    src_key: Key | None = None
+    dst_key: Key | None = None
+    id_key: Key | None = None
+    change: bool = False
 
     def canonical(self) -> DataFrame:
         kind = F.col("edge_type") if self.edge_type is None else F.lit(self.edge_type)
@@ -103,6 +132,19 @@ def _typed(df: DataFrame, column: str = "properties") -> tuple[DataFrame, dict[s
     return (df.withColumns(columns) if columns else df), {k: f"p_{k}" for k in fields}
 
 
+def _full(tables: tuple) -> bool:
+    return sum(t.change for t in tables) >= CHANGES
+
+
+def _together(tables: tuple, new: DataFrame) -> DataFrame:
+    """The new rows; with the changes so far if these have become too many tables."""
+    return union([t.canonical() for t in tables if t.change] + [new]) if _full(tables) else new
+
+
+def _settled(tables: tuple) -> tuple:
+    return tuple(t for t in tables if not t.change) if _full(tables) else tables
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     """An immutable snapshot. Everything is lazy; operators return DataFrames or new snapshots."""
@@ -135,22 +177,79 @@ class PropertyGraph:
         out = union(t.canonical() for t in tables)
         return out.where(F.col("edge_type").isin(*types)) if types else out
 
+    def lookup(self, *ids: int) -> DataFrame:
+        """The nodes with these ids, from the tables that can have them, by filters on their own keys."""
+        found = []
+        for t in self.node_tables:
+            if t.key is None:
+                found.append(replace(t, df=t.df.where(F.col("node_id").isin(*ids))).canonical())
+            elif any(map(t.key.holds, ids)):
+                found.append(replace(t, df=t.df.where(t.key.among(ids))).canonical())
+        return union(found) if found else self.nodes.limit(0)
+
+    def lookup_edges(self, *ids: int) -> DataFrame:
+        """The edges with these ids, in the same way."""
+        found = []
+        for t in self.edge_tables:
+            if t.id_key is None:
+                found.append(replace(t, df=t.df.where(F.col("edge_id").isin(*ids))).canonical())
+            elif any(map(t.id_key.holds, ids)):
+                found.append(replace(t, df=t.df.where(t.id_key.among(ids))).canonical())
+        return union(found) if found else self.edges.limit(0)
+
+    def touching(self, end: str, ids: Iterable[int], *types: str) -> DataFrame:
+        """Edges with one of these ids at an end (src or dst), from the tables that can have them, by filters on their own keys."""
+        ids, found = list(ids), []
+        for t in self.edge_tables:
+            key = t.src_key if end == "src" else t.dst_key
+            if types and t.edge_type is not None and t.edge_type not in types:
+                continue
+            if key is None:
+                found.append(replace(t, df=t.df.where(F.col(end).isin(*ids))).canonical())
+            elif any(map(key.holds, ids)):
+                found.append(replace(t, df=t.df.where(key.among(ids))).canonical())
+        out = union(found) if found else self.edges.limit(0)
+        return out.where(F.col("edge_type").isin(*types)) if types else out
+
     def at(self, ts: int) -> "PropertyGraph":
         """The graph as of a moment: every operator then works on it unchanged."""
-        tables = tuple(EdgeTable(t.df.where(valid_at(ts)), t.props, t.edge_type, t.src_labels, t.dst_labels) for t in self.edge_tables)
-        return PropertyGraph(self.spark, self.node_tables, tables, self.functions)
+        return replace(self, edge_tables=tuple(replace(t, df=t.df.where(valid_at(ts))) for t in self.edge_tables))
+
+    def only(self, *types: str) -> "PropertyGraph":
+        """The same nodes with edges of these types only; other tables aren't read."""
+        tables = [t if t.edge_type is not None else replace(t, df=t.df.where(F.col("edge_type").isin(*types))) for t in self.edge_tables if t.edge_type is None or t.edge_type in types]
+        return replace(self, edge_tables=tuple(tables))
 
     def subset(self, ids: DataFrame) -> "PropertyGraph":
         """Nodes whose node_id is in ids, and the edges between them."""
-        keep = ids.select("node_id").distinct()
-        nodes = tuple(NodeTable(t.df.join(keep, "node_id", "left_semi"), t.props, t.labels, t.embedded) for t in self.node_tables)
+        return self._ends(ids.select("node_id").distinct(), "left_semi")
+
+    def without(self, ids: DataFrame) -> "PropertyGraph":
+        """Without the nodes whose node_id is in ids and every edge at them."""
+        return self._ends(ids.select("node_id").distinct(), "left_anti")
+
+    def _ends(self, ids: DataFrame, how: str) -> "PropertyGraph":
+        nodes = tuple(replace(t, df=t.df.join(ids, "node_id", how)) for t in self.node_tables)
+
         def within(df: DataFrame) -> DataFrame:
-            return df.join(keep.withColumnRenamed("node_id", "src"), "src", "left_semi").join(keep.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-        return PropertyGraph(self.spark, nodes, tuple(EdgeTable(within(t.df), t.props, t.edge_type, t.src_labels, t.dst_labels) for t in self.edge_tables), self.functions)
+            return df.join(ids.withColumnRenamed("node_id", "src"), "src", how).join(ids.withColumnRenamed("node_id", "dst"), "dst", how)
+
+        return replace(self, node_tables=nodes, edge_tables=tuple(replace(t, df=within(t.df)) for t in self.edge_tables))
+
+    def plus(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> "PropertyGraph":
+        """With canonical rows added as tables of changes: only their properties are looked through, the rest stays typed."""
+        out = self
+        if nodes is not None:
+            df, props = _typed(_together(self.node_tables, nodes))
+            out = replace(out, node_tables=(*_settled(self.node_tables), NodeTable(df, props, None, True, change=True)))
+        if edges is not None:
+            df, props = _typed(_together(self.edge_tables, edges))
+            out = replace(out, edge_tables=(*_settled(self.edge_tables), EdgeTable(df, props, change=True)))
+        return out
 
     def register_function(self, name: str, fn: Callable[..., Column]) -> "PropertyGraph":
         """A snapshot whose queries know one more scalar function, a rule from columns to a column."""
-        return PropertyGraph(self.spark, self.node_tables, self.edge_tables, self.functions | {name.lower(): fn})
+        return replace(self, functions=self.functions | {name.lower(): fn})
 
     def query(self, text: str, compat: bool = False):
         """Run a statement; reads give a DataFrame, writes a (new graph, statistics) pair."""

@@ -55,9 +55,39 @@ def wcc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(found.withColumnRenamed("node", "node_id"), "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
-def _spread(start: DataFrame, arcs: DataFrame, take_max: bool = True) -> DataFrame:
+def _shortcuts(arcs: DataFrame) -> DataFrame:
+    """arcs (u, v) with an arc from 2, 4, 8, ... steps back to each node of a chain, whose nodes have one arc in each.
+
+    What reaches what stays the same, and long chains take as many rounds as the logarithm of their length.
+    """
+    step = cut(arcs.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("u")).where("n = 1").select("u", "v"))
+    out = arcs
+    for _ in range(max(0, step.count()).bit_length()):
+        far = cut(step.join(step.select(F.col("u").alias("far"), F.col("v").alias("u")), "u").select(F.col("far").alias("u"), "v"))
+        if far.isEmpty():
+            break
+        out, step = out.union(far.where("u <> v")), far
+    return out
+
+
+def _chained(arcs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node_id) of those that a walk back, by the only arc in at each step, ends at a node without an arc in."""
+    into = arcs.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("u"))
+    first = ids.join(into.select(F.col("v").alias("node_id")), "node_id", "left_anti")
+    at = cut(into.where("n = 1").select(F.col("v").alias("node_id"), F.col("u").alias("to")))
+    gone = first
+    for _ in range(max(0, at.count()).bit_length()):
+        jump = cut(at.join(at.select(F.col("node_id").alias("to"), F.col("to").alias("far")), "to", "left").select("node_id", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")))
+        at = jump.select("node_id", "to")
+        if jump.where("moved").isEmpty():
+            break
+    return gone.union(at.join(first.select(F.col("node_id").alias("to")), "to", "left_semi").select("node_id"))
+
+
+def _spread(start: DataFrame, arcs: DataFrame) -> DataFrame:
     """(node_id, color): the largest color that reaches each node along arcs (u, v); start: (node_id, color)."""
     now = cut(start)
+    arcs = cut(_shortcuts(arcs))
     while True:
         came = now.join(arcs, F.col("node_id") == F.col("u")).groupBy("v").agg(F.max("color").alias("came"))
         new = cut(now.join(came, F.col("node_id") == F.col("v"), "left").select("node_id", F.greatest("color", "came").alias("color"), (F.col("came") > F.col("color")).alias("changed")))
@@ -107,40 +137,36 @@ def _tarjan(ids: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int
     return out
 
 
-def scc(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100, small: int = 200_000) -> DataFrame:
+def scc(nodes: DataFrame, edges: DataFrame, small: int = 200_000) -> DataFrame:
     """(node_id, component): strongly connected components, named by their smallest node.
 
-    Forward-backward colouring: nodes without an arc in or out are components of their own and go first; the largest id
-    is spread forwards, and within a colour the nodes that reach its owner are one component. Graphs of at most `small`
-    nodes and arcs are solved on the driver.
+    Forward-backward colouring: nodes without an arc in or out, and the chains that lead from or to them, are components of
+    their own and go first, until there are none; then the id that is largest in a hashed order is spread forwards, and
+    within a colour the nodes that reach its owner are one component. Every round settles a node or more, and rounds go on until all are settled. Chains
+    are jumped along, so their length counts by its logarithm. Graphs of at most `small` nodes and arcs are solved on the driver.
     """
     left = cut(_ids(nodes))
-    all_arcs = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct())
-    if small and all_arcs.count() <= small and left.count() <= small:
-        ids = sorted(r[0] for r in left.collect())
-        known = set(ids)
-        return nodes.sparkSession.createDataFrame(_tarjan(ids, [(u, v) for u, v in all_arcs.collect() if u in known and v in known]), "node_id long, component long")
-    done = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
-        inside = all_arcs.join(left.withColumnRenamed("node_id", "u"), "u", "left_semi").join(left.withColumnRenamed("node_id", "v"), "v", "left_semi")
-        inside = cut(inside.select("u", "v"))
-        inner = cut(left.join(inside.select(F.col("u").alias("node_id")).distinct(), "node_id", "left_semi").join(inside.select(F.col("v").alias("node_id")).distinct(), "node_id", "left_semi"))
-        alone = left.join(inner, "node_id", "left_anti").select("node_id", F.col("node_id").alias("component"))
-        found = alone
-        if alone.isEmpty():
-            colors = _spread(inner.select("node_id", F.col("node_id").alias("color")), inside)
+    inside = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct()
+    inside = cut(inside.join(left.withColumnRenamed("node_id", "u"), "u", "left_semi").join(left.withColumnRenamed("node_id", "v"), "v", "left_semi").select("u", "v"))
+    if small and inside.count() <= small and left.count() <= small:
+        return nodes.sparkSession.createDataFrame(_tarjan(sorted(r[0] for r in left.collect()), [tuple(r) for r in inside.collect()]), "node_id long, component long")
+    done = left.limit(0).select("node_id", F.col("node_id").alias("component"))
+    while not left.isEmpty():
+        alone = cut(_chained(inside, left).union(_chained(inside.select(F.col("v").alias("u"), F.col("u").alias("v")), left)).distinct())
+        if not alone.isEmpty():
+            found = alone.select("node_id", F.col("node_id").alias("component"))
+        else:
+            colors = _spread(left.select("node_id", F.struct(F.xxhash64("node_id").alias("h"), "node_id").alias("color")), inside)
             cu, cv = colors.select(F.col("node_id").alias("u"), F.col("color").alias("cu")), colors.select(F.col("node_id").alias("v"), F.col("color").alias("cv"))
             same = cut(inside.join(cu, "u").join(cv, "v").where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v")))
-            reach = _spread(colors.select("node_id", F.when(F.col("node_id") == F.col("color"), 1).otherwise(0).alias("color")), same).where("color = 1").select("node_id")
+            reach = _spread(colors.select("node_id", F.when(F.col("node_id") == F.col("color.node_id"), 1).otherwise(0).alias("color")), same).where("color = 1").select("node_id")
             found = colors.join(reach, "node_id", "left_semi")
             names = found.groupBy("color").agg(F.min("node_id").alias("component"))
-            found = found.join(names, "color").select("node_id", "component")
-        found = cut(found)
-        done = found if done is None else done.union(found)
+            found = cut(found.join(names, "color").select("node_id", "component"))
+        done = cut(done.union(found))
         left = cut(left.join(found, "node_id", "left_anti"))
-    return done if done is not None else left.select("node_id", F.col("node_id").alias("component"))
+        inside = cut(inside.join(left.withColumnRenamed("node_id", "u"), "u", "left_semi").join(left.withColumnRenamed("node_id", "v"), "v", "left_semi").select("u", "v"))
+    return done
 
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame, direction: str = "outgoing") -> DataFrame:
@@ -159,14 +185,15 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame, direction: str = "outg
 def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, max_edges: int = 20_000_000) -> DataFrame:
     """(node_id, centrality): Brandes over outgoing edges, unweighted, over (n-1)(n-2); parallel edges multiply paths.
 
-    Every task needs the whole adjacency, so it is sent as two arrays and must have at most `max_edges` edges; sources are
+    Every task needs the whole adjacency, so it is sent as two arrays and must have at most `max_edges` edges and nodes; sources are
     dealt over the tasks. With `sources`, their sum is scaled up to all nodes.
     """
-    ids = np.array(sorted(r[0] for r in _ids(nodes).toLocalIterator()), np.int64)
+    if max(edges.count(), _ids(nodes).count()) > max_edges:
+        raise ValueError(f"betweenness is limited to {max_edges} edges and nodes; give a subset of the graph")
+    ids = np.sort(_ids(nodes).toArrow().column(0).to_numpy())
     n = len(ids)
-    if edges.count() > max_edges:
-        raise ValueError(f"betweenness is limited to {max_edges} edges; give a subset of the graph")
-    pairs = np.array([(r[0], r[1]) for r in edges.select("src", "dst").toLocalIterator()], np.int64).reshape(-1, 2)
+    got = edges.select("src", "dst").toArrow()
+    pairs = np.stack([got.column(0).to_numpy(), got.column(1).to_numpy()], axis=1)
     pairs = pairs[np.isin(pairs, ids).all(axis=1)] if len(pairs) else pairs
     s, d = np.searchsorted(ids, pairs[:, 0]), np.searchsorted(ids, pairs[:, 1])
     order = np.argsort(s, kind="stable")
@@ -262,17 +289,13 @@ def louvain_exact(nodes: DataFrame, edges: DataFrame, passes: int = 100, max_edg
     return nodes.sparkSession.createDataFrame(rows, "node_id long, community long")
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 20, small: int = 200_000) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(node_id, community): synchronous moves. Each round a hashed half of the nodes moves to its best neighbouring community.
 
     Gains come from sums over (node, community) and (community), so every step is a grouped aggregate; half at a time
-    keeps neighbours from swapping places. Stops after two rounds in which nobody moves. Graphs of at most `small` edges
-    take the sequential form.
+    keeps neighbours from swapping places. Stops after two rounds in which nobody moves, or after `rounds`. One level, and
+    the same at every size; `louvain_exact` is the sequential form.
     """
-    if small and edges.count() <= small:
-        found = louvain_exact(nodes, edges)
-        name = found.groupBy("community").agg(F.min("node_id").alias("name"))
-        return found.join(name, "community").select("node_id", F.col("name").alias("community"))
     ids = cut(_ids(nodes))
     both = edges.select("src", "dst", "weight").where("src <> dst")
     both = cut(both.union(both.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("w")).join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi"))

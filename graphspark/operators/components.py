@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from graphspark.session import cut
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
     """(node, component) for every node with an edge to another; component is the smallest node reachable.
 
     Rows with a null end or equal ends are ignored. Each round contracts towards the smallest neighbour from both sides,
-    so a component of any shape needs about log(size) rounds. Minima are pre-aggregated before the shuffle, and joins on
+    so a component of any shape needs about log(size) rounds; it is an error if `max_rounds` don't settle it. Minima are pre-aggregated before the shuffle, and joins on
     a hub are left to AQE's skew handling.
     """
     pairs = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
@@ -31,6 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if new == mark:
             break
         mark = new
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(now.select(F.col("b"), F.col("b").alias("c")).distinct())
 
 

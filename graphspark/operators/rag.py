@@ -204,13 +204,16 @@ def embed(df: DataFrame, text: str, provider: Callable[[list[str]], list[list[fl
 
 def hash_embedder(dimension: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """A deterministic embedder for tests: counts of hashed words."""
+    import re
     import zlib
 
+    words = re.compile(r"[^\x20\x09-\x0D]+")
+
     def run(texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:
             v = [0.0] * dimension
-            for w in t.lower().split():
+            for w in words.findall(t.lower()):
                 v[zlib.crc32(w.encode()) % dimension] += 1.0
             out.append(v)
         return out

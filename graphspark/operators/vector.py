@@ -6,11 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphspark.errors import NoEmbedding
+from graphspark.errors import DimensionMismatch, NoEmbedding
 from graphspark.functions.distance import METRICS, distance, vector
 from graphspark.graph import PropertyGraph
 from graphspark.operators.traverse import arcs, bfs, neighbors
@@ -87,33 +87,87 @@ def knn_join(queries: DataFrame, nodes: DataFrame, k: int = 10, metric: str = "c
 
 
 class InvertedIndex:
-    """Approximate search: k-means cells over a bounded sample of vectors, rows assigned to the nearest, the nearest cells searched."""
+    """Approximate search in k-means cells: rows are kept by cell, and a query looks through the nearest cells only.
 
-    def __init__(self, nodes: DataFrame, cells: int = 64, sample: int = 20_000, seed: int = 0):
+    Centres come from a bounded sample. How many cells a query looks through is measured: a bounded sample of rows is
+    answered by brute force, and the fewest cells are taken that hold `recall` of the true neighbours. Snapshots are
+    immutable: `insert`, `remove` and `rebuilt` give new ones; `rebuilt` draws the centres anew when rows have moved away
+    from them. `save` writes the rows partitioned by cell, so that a search after `load` reads the files of its cells alone.
+    """
+
+    def __init__(self, rows: DataFrame, centers: np.ndarray, metric: str, probes: int):
+        self.rows, self.centers, self.metric, self.probes = rows, centers, metric, probes
+
+    @classmethod
+    def build(cls, nodes: DataFrame, cells: int = 64, sample: int = 20_000, seed: int = 0, metric: str = "cosine", recall: float = 0.95, audit: int = 128, k: int = 10) -> "InvertedIndex":
+        if metric not in METRICS:
+            raise ValueError(f"metric must be one of {METRICS}")
         rows = nodes.where(F.col("embedding").isNotNull()).select("node_id", F.col("embedding").cast("array<double>").alias("embedding"))
-        got = np.array([r["embedding"] for r in rows.orderBy(F.xxhash64("node_id", F.lit(seed))).limit(sample).toLocalIterator()])
-        got /= np.maximum(np.sqrt((got * got).sum(1, keepdims=True)), 1e-30)
+        got = np.array([r["embedding"] for r in rows.orderBy(F.xxhash64("node_id", F.lit(seed)), "node_id").limit(sample).collect()])
+        if not len(got):
+            return cls(rows.withColumn("cell", F.lit(0)), np.zeros((1, 1)), metric, 1)
+        points = got / np.maximum(np.sqrt((got * got).sum(1, keepdims=True)), 1e-30) if metric == "cosine" else got
         rng = np.random.default_rng(seed)
-        centers = got[rng.permutation(len(got))[:cells]].copy()
+        centers = points[rng.permutation(len(points))[:cells]].copy()
         for _ in range(10):
-            mine = (got @ centers.T).argmax(1)
-            for c in range(len(centers)):
-                if (mine == c).any():
-                    v = got[mine == c].mean(0)
-                    centers[c] = v / max(np.sqrt(v @ v), 1e-30)
-        self.centers = centers
-
+            mine = _cell_order(centers, points, metric)[:, 0]
+            for c in np.unique(mine):
+                centers[c] = points[mine == c].mean(0)
+        index = cls(cut(cls._placed(rows, centers, metric)), centers, metric, len(centers))
+        asked = index.rows.orderBy(F.xxhash64("node_id", F.lit(seed + 1)), "node_id").limit(audit)
+        truth = knn_join(asked, index.rows, k, metric).join(index.rows.select("node_id", "cell"), "node_id").join(asked.select(F.col("node_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").select("q", "cell").collect()  # audit x k rows
+        if truth:
+            order = _cell_order(centers, np.array([r["q"] for r in truth]), metric)
+            place = np.sort((order == np.array([r["cell"] for r in truth])[:, None]).argmax(1))
+            index.probes = int(place[min(len(place) - 1, int(np.ceil(recall * len(place))))]) + 1
+        return index
+
+    @staticmethod
+    def _placed(rows: DataFrame, centers: np.ndarray, metric: str) -> DataFrame:
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
                     x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array((x @ centers.T).argmax(1).astype(np.int32))], names=["node_id", "embedding", "cell"])
-
-        self.rows = cut(rows.mapInArrow(place, "node_id long, embedding array<double>, cell int"))
-
-    def search(self, query: Sequence[float], k: int = 10, probes: int = 16, metric: str = "cosine") -> DataFrame:
-        near = np.argsort(-(self.centers @ np.asarray(query, float)))[:probes]
-        return knn(self.rows.where(F.col("cell").isin(*map(int, near))), query, k, metric)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_cell_order(centers, x, metric)[:, 0].astype(np.int32))], names=["node_id", "embedding", "cell"])
+
+        return rows.mapInArrow(place, "node_id long, embedding array<double>, cell int")
+
+    def insert(self, nodes: DataFrame) -> "InvertedIndex":
+        """With more rows (node_id, embedding); an id that is there already gets its new vector."""
+        new = nodes.where(F.col("embedding").isNotNull()).select("node_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        odd = new.where(F.size("embedding") != self.centers.shape[1]).first()
+        if odd is not None:
+            raise DimensionMismatch(f"{len(odd['embedding'])} instead of {self.centers.shape[1]}")
+        new = cut(self._placed(new, self.centers, self.metric))
+        return InvertedIndex(self.rows.join(new.select("node_id"), "node_id", "left_anti").unionByName(new), self.centers, self.metric, self.probes)
+
+    def remove(self, ids: DataFrame) -> "InvertedIndex":
+        """Without these ids (node_id); ids that aren't there are no error."""
+        return InvertedIndex(self.rows.join(ids.select("node_id").distinct(), "node_id", "left_anti"), self.centers, self.metric, self.probes)
+
+    def rebuilt(self, **how) -> "InvertedIndex":
+        return InvertedIndex.build(self.rows, **{"cells": len(self.centers), "metric": self.metric} | how)
+
+    def save(self, path: str) -> None:
+        spark = self.rows.sparkSession
+        self.rows.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        spark.createDataFrame([(i, c.tolist(), self.metric, self.probes) for i, c in enumerate(self.centers)], "cell int, center array<double>, metric string, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "InvertedIndex":
+        centers = spark.read.parquet(f"{path}/centers").orderBy("cell").collect()  # one row for each cell
+        rows = spark.read.schema("node_id long, embedding array<double>, cell int").parquet(f"{path}/rows")
+        return cls(rows, np.array([r["center"] for r in centers]), centers[0]["metric"], centers[0]["probes"])
+
+    def search(self, query: Sequence[float], k: int = 10, probes: int | None = None) -> DataFrame:
+        """(node_id, distance) of the k nearest in the nearest `probes` cells, as many as were measured to be needed by default."""
+        near = _cell_order(self.centers, np.asarray([query], float), self.metric)[0, : probes or self.probes]
+        return knn(self.rows.where(F.col("cell").isin(*map(int, near))), query, k, self.metric)
+
+
+def _cell_order(centers: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """For each row of x the cells, nearest first."""
+    return np.argsort(_distances(metric, x, centers), axis=1, kind="stable")
 
 
 def hybrid_search(g: PropertyGraph, anchor: int, query: Sequence[float], max_hops: int = 3, k: int = 10, alpha: float = 0.5, metric: str = "cosine") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -25,19 +26,41 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, from spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
+    """The folder all executors see, from spark.checkpoint.dir; a temporary one only where it is unset and Spark runs in one process."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if there:
         return there
+    if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
     made = tempfile.mkdtemp(prefix="graphspark-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file systems; one that isn't there is no error."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Estimated bytes beyond which an estimate is dropped.
+ABSURD = 1 << 62
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there, so that a lost executor costs no long lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared checkpoint folder and go on from there, so that a lost executor costs no long lineage.
+
+    A checkpoint keeps the planner's estimate of its size. Joins multiply estimates, so in a loop their digits double from
+    round to round until planning takes longer than the work; estimates beyond ABSURD are therefore not carried on.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    plan = out._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) <= ABSURD:
+        return out
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), out._jdf.schema(), False), spark)
 
 
 def shuffle_width(spark: SparkSession) -> int:

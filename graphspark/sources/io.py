@@ -51,7 +51,7 @@ def ingest(g: PropertyGraph, df: DataFrame | pa.Table) -> PropertyGraph:
         df = g.spark.createDataFrame(df.to_pandas())
     if "labels" in df.columns:
         start = (g.nodes.agg(F.max("node_id")).first()[0] or 0) + 1
-        return PropertyGraph.of(g.nodes.unionByName(node_frame(df, start)), g.edges)
+        return g.plus(nodes=node_frame(df, start))
     if "edge_type" in df.columns:
         start = (g.edges.agg(F.max("edge_id")).first()[0] or 0) + 1
         return add_edges(g, edge_frame(df, start))

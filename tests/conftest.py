@@ -23,20 +23,28 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def people(spark):
-    """Alice -KNOWS-> Bob -KNOWS-> Carol, Alice -WORKS_AT-> Acme."""
+def harbours(spark):
+    """Three ports with sea routes, and a ship: Oslo -ROUTE-> Lisbon -ROUTE-> Genoa, Oslo -ROUTE-> Genoa, Marlin -MOORED_AT-> Lisbon."""
     from graphspark.graph import EDGES, NODES, PropertyGraph
 
     nodes = spark.createDataFrame(
         [
-            (1, ["Person"], '{"name": "Alice", "age": 25}', None),
-            (2, ["Person"], '{"name": "Bob", "age": 35}', None),
-            (3, ["Person"], '{"name": "Carol", "age": 28}', None),
-            (4, ["Company"], '{"name": "Acme", "founded": 1990}', None),
+            (21, ["Port"], '{"name": "Oslo", "berths": 40}', None),
+            (22, ["Port"], '{"name": "Lisbon", "berths": 12}', None),
+            (23, ["Port"], '{"name": "Genoa", "berths": 27}', None),
+            (24, ["Ship", "Ferry"], '{"name": "Marlin", "length": 155}', None),
         ],
         NODES,
     )
-    edges = spark.createDataFrame([(1, 1, 2, "KNOWS", '{"since": 2020}', 1.0, None, None), (2, 2, 3, "KNOWS", '{"since": 2021}', 1.0, None, None), (3, 1, 4, "WORKS_AT", "{}", 1.0, None, None)], EDGES)
+    edges = spark.createDataFrame(
+        [
+            (5, 21, 22, "ROUTE", '{"days": 6}', 2.5, None, None),
+            (6, 22, 23, "ROUTE", '{"days": 4}', 1.5, None, None),
+            (7, 21, 23, "ROUTE", '{"days": 9}', 7.0, None, None),
+            (8, 24, 22, "MOORED_AT", "{}", 1.0, None, None),
+        ],
+        EDGES,
+    )
     return PropertyGraph.of(nodes, edges)
 
 
