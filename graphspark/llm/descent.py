@@ -15,9 +15,9 @@ its members' enlarged list: all of its members are compared in double precision,
 blocks, which yields each member's number of links and a spanning forest of the true links, not the pairs. Components
 come from those forests.
 
-n_links counts other vectors, so members of classes count by their size. Vectors that are null, zero or hold null or
-non-finite components (or are of a rarer dimension than most) link with nothing, nor do they with each other: n_links 0,
-component_id their own vec_id. Rows that repeat a vec_id with an equal vector count as one other vector and each get the
+n_links counts other vectors, so members of classes count by their size; a cosine of just the threshold links. Vectors of
+different dimensions don't link: each dimension is searched on its own. Vectors that are null, empty, zero or hold null or
+non-finite components link with nothing, nor do they with each other: n_links 0, component_id their own vec_id. Rows that repeat a vec_id with an equal vector count as one other vector and each get the
 same row; null vec_ids get n_links 0 and null; an empty table gives no rows; other columns are ignored.
 """
 
@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphspark.llm.common import spread_join
 from graphspark.llm.simhash import Forest
-from graphspark.llm.vectors import matrix, salt, unit, usable
+from graphspark.llm.vectors import dimensions, matrix, salt, unit, usable
 from graphspark.operators.components import connected_components
 from graphspark.session import cut, shuffle_width
 
@@ -43,7 +44,7 @@ K = 8
 #: Rows of a leaf that are aimed at, and of a block that is compared at once.
 LEAF, LEAF_BLOCK = 96, 256
 #: A leaf of more rows is split before it is dealt.
-LEAF_ROWS = 4_096
+LEAF_ROWS = 2 * LEAF_BLOCK
 TREES = 8
 ROUNDS = 6
 #: NN-descent ends when no more than this share of the list places that could matter to the threshold change.
@@ -360,9 +361,22 @@ def exact_links(members: DataFrame, threshold: float, block: int) -> tuple[DataF
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of embeddings (vec_id, embedding)."""
-    rows = usable(embeddings)
+    rows = cut(usable(embeddings))
+    h = ["h1", "h2"]
+    found = rows.sparkSession.createDataFrame([], "h1 long, h2 long, n long, n_links long, component_id long")
+    for d in dimensions(rows):
+        found = found.union(_classes_linked(rows.where(F.col("d") == d), threshold, k))
+    found = cut(found)
+    known = spread_join(rows.select("vec_id", *h), found, h, "n", rows.count()).select(F.col("vec_id").alias("known"), *h, "n_links", "component_id")
+    all_rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v"))
+    all_rows = all_rows.select("vec_id", F.xxhash64("v").alias("r1"), F.xxhash64(F.lit(7), "v").alias("r2"))
+    joined = all_rows.join(known, (F.col("vec_id") == F.col("known")) & (F.col("r1") == F.col("h1")) & (F.col("r2") == F.col("h2")), "left")
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _classes_linked(rows: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(h1, h2, n, n_links, component_id) of the classes of equal vectors of one dimension."""
     h = ["h1", "h2"]
-    rows = cut(rows)
     classes = cut(rows.groupBy(*h).agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.any_value("v").alias("v")))
     schema = pa.schema([("id", pa.int64()), ("x", pa.binary())])
 
@@ -396,12 +410,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int
     else:
         groups, block = units.select("id", F.lit(0).cast("long").alias("grp")), WHOLE
     links, forest = exact_links(groups.join(named, "id").select("grp", "id", "n", "v"), threshold, block)
-    component = connected_components(forest, "a", "b").select(F.col("node").alias("id"), "component")
-    whole = cut(named.join(component, "id", "left").join(links, "id", "left").select(*h, "smallest", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("root")))
-    least = whole.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    by_class = whole.join(least, "root").select(*h, "n_links", "component_id")
-    known = rows.join(by_class, h).select(F.col("vec_id").alias("known"), *h, "n_links", "component_id")
-    all_rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v"))
-    all_rows = all_rows.select("vec_id", F.xxhash64("v").alias("r1"), F.xxhash64(F.lit(7), "v").alias("r2"))
-    joined = all_rows.join(known, (F.col("vec_id") == F.col("known")) & (F.col("r1") == F.col("h1")) & (F.col("r2") == F.col("h2")), "left")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    component = connected_components(forest, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("root"))
+    whole = cut(named.join(component, "id", "left").join(links, "id", "left").select(*h, "n", "smallest", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "root"))
+    alone = whole.where("root is null").select(*h, "n", "n_links", F.col("smallest").alias("component_id"))
+    whole = whole.where("root is not null")
+    least = whole.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count("*").alias("members"))
+    return alone.union(spread_join(whole, least, ["root"], "members", whole.count()).select(*h, "n", "n_links", "component_id"))

@@ -5,9 +5,10 @@ backwards, and labels every position with class probabilities; a document's prob
 positions. Every window of every whole text is read.
 
 Learning takes only text and non-null lang of documents with crc32(doc_id as text) mod 4 other than 2: about
-`sample_per_class` documents of each language, chosen by a hash of doc_id, and of each WINDOWS_PER_DOC windows at seeded
-places. Predictions see the text alone. Texts that are null or hold no letter are `und` with score 0; so is every text if
-there is nothing to learn from. Null doc_ids count as the empty text for the remainder and are never learned from;
+`sample_per_class` documents of each language, chosen by a hash of doc_id (of several texts of one id the smallest), and of
+each WINDOWS_PER_DOC windows at seeded places. Every language is learned; more than CLASSES are an error. Predictions see
+the text alone, of any length; of equal probabilities the language first by name counts. Texts that are null or hold no
+letter are `und` with score 0; so is every text if there is nothing to learn from. Null doc_ids count as the empty text for the remainder and are never learned from;
 repeated rows are each predicted; an empty table gives no rows; other columns are ignored.
 """
 
@@ -28,7 +29,8 @@ WINDOW = 128
 #: Bounds on what is learned from.
 SAMPLE_PER_CLASS = 300
 WINDOWS_PER_DOC = 6
-CLASSES = 500
+#: More values of lang than a network of this kind can tell apart are taken for a mistake, not cut off.
+CLASSES = 4_096
 STEPS, BATCH, TRAIN_WINDOW, RATE = 700, 192, 64, 0.02
 HELD_OUT_MODULUS, HELD_OUT = 4, 2
 UNKNOWN = "und"
@@ -157,12 +159,15 @@ def pooled(p: Params, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> tuple[list[str], Params | None]:
     usable = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (id_remainder("doc_id", HELD_OUT_MODULUS) != HELD_OUT))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES).collect()  # a bounded list of classes
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).limit(CLASSES + 1).collect()  # a bounded list of classes
+    if len(counts) > CLASSES:
+        raise ValueError(f"more than {CLASSES} languages")
     if not counts:
         return [], None
     names = sorted(r["lang"] for r in counts)
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], sample_per_class / r["n"])])
     chosen = usable.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.try_element_at(share, "lang") * (1 << 30)))
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     arrow = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("part", pa.binary())])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

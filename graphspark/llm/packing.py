@@ -4,11 +4,14 @@ Every document becomes token ids plus one closing id. Full context windows are c
 document goes to the smallest context tier that holds it. Tiers are packed from the longest down: a remainder opens a
 window of its tier, the gap is filled with the largest whole remainders of shorter tiers that fit, and the last gap by
 cutting one shorter remainder. So each window is full; the few tokens left at the end of a partition are cut into
-windows whose lengths are powers of two, which need no padding. Windows of one length are dealt evenly over step groups.
-
-Each partition is packed on its own while it streams, so there is no shuffle, memory is bounded by `pool_tokens`, and a
-lost task is repeated alone. A null text is an empty one (just the closing id); null and repeated doc_ids are packed row
-by row; an empty table gives no rows; other columns are ignored.
+windows whose lengths are powers of two, which need no padding. Step groups hold `step_tokens` tokens each: windows of one
+length wait until they fill one; at the end of a partition those that are left, longest first, fill groups together, which
+leaves one group short, and that shares its windows evenly with the group before it.
+
+Each partition is packed on its own while it streams, so there is no shuffle, memory is bounded by `pool_tokens` and one
+step group of each length, and a lost task is repeated alone. A null text is an empty one (just the closing id), a very long
+one is cut into windows; remainders of equal length are taken in the order they came; null and repeated doc_ids are packed
+row by row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,6 +108,8 @@ class Packer:
         self.pool: dict[int, list[tuple]] = {t: [] for t in tiers}
         self.held = self.serial = self.sequences = self.groups = 0
         self.ready: list[tuple[int, list[tuple]]] = []
+        self.waiting: dict[int, list[list[tuple]]] = defaultdict(list)
+        self.last: list[tuple[int, list[tuple]]] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         total, top = len(ids) // 4, self.tiers[-1]
@@ -179,26 +184,64 @@ class Packer:
             self.ready.append((size, part))
             left -= size
 
-    def rows(self, step_tokens: int) -> pa.RecordBatch:
-        """The finished windows; those of one length are dealt in turn over as many step groups as they fill."""
-        by_length: dict[int, list[list[tuple]]] = defaultdict(list)
+    def _grouped(self, step_tokens: int, last: bool) -> list[list[tuple[int, list[tuple]]]]:
+        """Step groups that are complete, the latest one held back until the end. A length beyond step_tokens is a group alone."""
         for size, window in self.ready:
-            by_length[size].append(window)
+            self.waiting[size].append(window)
         self.ready = []
+        full = []
+        for size, windows in sorted(self.waiting.items(), reverse=True):
+            n = max(1, step_tokens // size)
+            whole = len(windows) // n * n
+            full += [[(size, w) for w in windows[a : a + n]] for a in range(0, whole, n)]
+            del windows[:whole]
+        if last:
+            rest = [(size, w) for size, windows in sorted(self.waiting.items(), reverse=True) for w in windows]
+            self.waiting.clear()
+            now, held = [], 0
+            for item in rest:  # powers of two, longest first: a group is filled to the last token before the next one opens
+                if now and held + item[0] > step_tokens:
+                    full.append(now)
+                    now, held = [], 0
+                now.append(item)
+                held += item[0]
+            if now:
+                full.append(now)
+        if self.last:
+            full.insert(0, self.last)
+            self.last = []
+        if not last:
+            if full:
+                self.last = full.pop()
+        elif len(full) > 1 and 2 * sum(s for s, _ in full[-1]) < step_tokens:
+            full[-2:] = _halves(full[-2] + full[-1])
+        return full
+
+    def rows(self, step_tokens: int, last: bool = False) -> pa.RecordBatch:
+        """The windows of the step groups that are complete."""
         out: list[tuple] = []
-        for size, windows in sorted(by_length.items()):
-            groups = max(1, round(len(windows) * size / step_tokens))
-            for i, window in enumerate(windows):
+        for group in self._grouped(step_tokens, last):
+            for size, window in group:
                 at = 0
                 for n, _, doc_id, start, ids, total in window:
-                    out.append((doc_id, start, n, zlib.crc32(ids), total, self.base + self.sequences, at, size, self.base + self.groups + i % groups))
+                    out.append((doc_id, start, n, zlib.crc32(ids), total, self.base + self.sequences, at, size, self.base + self.groups))
                     at += n
                 self.sequences += 1
-            self.groups += groups
+            self.groups += 1
         columns = list(zip(*out, strict=True)) or [()] * len(ARROW)
         return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], schema=ARROW)
 
 
+def _halves(windows: list[tuple[int, list[tuple]]]) -> list[list[tuple[int, list[tuple]]]]:
+    """Two groups of about equally many tokens: longest first, each to the lighter one."""
+    out, held = ([], []), [0, 0]
+    for item in sorted(windows, key=lambda w: -w[0]):
+        k = int(held[1] < held[0])
+        out[k].append(item)
+        held[k] += item[0]
+    return [g for g in out if g]
+
+
 def packing(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS, pool_tokens: int = POOL_TOKENS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """Pieces of all documents of (doc_id, text) in full sequences of the tier lengths; see the module's text."""
     bounded_batches(docs.sparkSession)
@@ -215,6 +258,6 @@ def packing(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...
                     packer.pack(last=False)
             yield packer.rows(step_tokens)
         packer.pack(last=True)
-        yield packer.rows(step_tokens)
+        yield packer.rows(step_tokens, last=True)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, SCHEMA)

@@ -5,8 +5,9 @@ step by step (homoglyphs and invisible characters, spelled-out digits, at/dot di
 rewritten text keeps the source range it came from. The same patterns run over the rewritten text, and a hit that holds
 a rewritten character becomes an added span over its source range. Base spans always stay.
 
-Offsets are code points, ends exclusive. A null text is an empty one: no spans, and the hash of the empty string. Null or
-repeated doc_ids are handled row by row, an empty table gives no rows, other columns are ignored.
+Offsets are code points, ends exclusive. A null text is an empty one: no spans, and the hash of the empty string. A very
+long text is read whole. Spans that start together come in the order of KINDS. Null or repeated doc_ids are handled row by
+row, an empty table gives no rows, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,15 +85,19 @@ _WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _SPELLED = re.compile(rf"\b(?=[zotfsen])(?:plus[ -]+)?{_WORD}(?:(?:[ ,-]+|[ ]*(?:dot|point|\.)[ ]*)(?:{_WORD}|[0-9])\b){{3,}}", re.I)
 _SPELLED_PLUS = re.compile(rf"\bplus[ -]+(?={_WORD}\b|[0-9])", re.I)
 _TOKEN = re.compile(r"plus|dot|point|[a-z]+|[0-9]|[ ,-]+|\.", re.I)
-_AT = re.compile(r"[ ]*[\[({<][ ]*(?:at|@)[ ]*[\])}>][ ]*", re.I)
-_DOT = re.compile(r"[ ]*[\[({<][ ]*(?:dot|\.)[ ]*[\])}>][ ]*", re.I)
+#: White space within a disguise: blanks and one line end at most.
+_GAP = r"[ \t]*(?:\r?\n[ \t]*)?"
+_AT = re.compile(rf"{_GAP}[\[({{<]{_GAP}(?:at|@){_GAP}[\])}}>]{_GAP}", re.I)
+_DOT = re.compile(rf"{_GAP}[\[({{<]{_GAP}(?:dot|\.){_GAP}[\])}}>]{_GAP}", re.I)
 _SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]++(?:(?:\.| dot )[a-z0-9_%+-]++)*+(?P<at>@| at )[a-z0-9-]++(?:(?:\.| dot )[a-z0-9-]++)++", re.I)
 _SAID_PART = re.compile(r"@|\.| at | dot ", re.I)
 _BARE = re.compile(r" at [a-z0-9-]++(?:\.[a-z0-9-]++)*(?:\.| dot )[a-z0-9-]")
 #: Top-level labels, and words before a bare "at y.z" that are no mailbox.
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz name pro app dev io ai co me tv cc xyz online site cloud tech eu uk us ca au nz ie de at ch fr be nl lu it es pt gr pl cz sk hu ro bg hr si rs se no dk fi is ee lv lt ru ua by tr il in pk cn jp kr tw hk sg my th vn id ph br ar cl mx pe za ng ke eg ma ae sa ir".split())
 NOT_MAILBOX = frozenset("a all also and are arrive as available be blog book buy check code contact docs download email exist find found from go good here hosted i in is it join learn live located look mail me meet more now of official on one online only or order out page posted published read register resides running see shop sign site sold start stay stop that the them there these this those today up us visit was website we web were work you".split())
-_BRACKETED = re.compile(r"[\[({<][ ]*(?:at|dot|@|\.)[ ]*[\])}>]", re.I)
+_BRACKETED = re.compile(rf"[\[({{<]{_GAP}(?:at|dot|@|\.){_GAP}[\])}}>]", re.I)
+#: Spelled parts with a line end beside them: they are read as if it were a blank.
+_BROKEN = re.compile(r"(?<=[a-z0-9])(?:[ \t]*\r?\n[ \t]*(?:at|dot)[ \t]+|[ \t]+(?:at|dot)[ \t]*\r?\n[ \t]*)(?=[a-z0-9])", re.I)
 
 
 class Mapped:
@@ -158,6 +163,8 @@ def spelled_digits(m: Mapped) -> Mapped:
 def at_and_dot(m: Mapped) -> Mapped:
     edits = [(k.start(), k.end(), "@") for k in _AT.finditer(m.text)] + [(k.start(), k.end(), ".") for k in _DOT.finditer(m.text)]
     m = m.rewritten(sorted(edits))
+    if "\n" in m.text:
+        m = m.rewritten([(k.start(), k.end(), f" {k.group().strip()} ") for k in _BROKEN.finditer(m.text)])
     return m.rewritten([e for s in _SAID.finditer(m.text) for e in _said(m, s)])
 
 
@@ -183,8 +190,8 @@ def added(text: str, base: list[Span]) -> list[Span]:
     """Spans that only show after rewriting, none of which lies within a base span of its kind."""
     odd = not text.isascii() and _ODD.search(text) is not None
     low = text.lower()
-    spelled = "ero" in low or " " in low and _SPELLED.search(low) is not None
-    said = " dot " in low or " at " in low and _BARE.search(low) is not None or (("at" in low or "dot" in low or "@" in low) and _BRACKETED.search(text) is not None)
+    spelled = _SPELLED.search(low) is not None
+    said = " dot " in low or " at " in low and _BARE.search(low) is not None or ("\n" in low and _BROKEN.search(low) is not None) or (("at" in low or "dot" in low or "@" in low) and _BRACKETED.search(text) is not None)
     if not (odd or spelled or said):
         return []
     m = at_and_dot(spelled_digits(homoglyphs(Mapped.of(text))))

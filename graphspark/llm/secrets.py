@@ -1,13 +1,15 @@
 """Secrets with a recursive decoding worklist (operator 8).
 
 Base spans come from three patterns over the text as it is. Then a worklist starts with the text: each layer is looked
-through for URL escapes, Unicode escapes and base64 runs (with compressed data inside); every decoded layer keeps, for
-each of its characters, the source range it came from, is scanned with the same patterns and goes on the worklist
-itself, until no new layer appears. A layer whose text was already seen on its way from the source is a cycle and is
+through for URL escapes, Unicode escapes and base64 runs; the bytes of both URL escapes and base64 may be compressed, base64
+may hold UTF-16, bytes that are no text between others that are, and may follow other characters of its alphabet, such as a
+path. Every decoded layer keeps, for each of its characters, the source range it came from, is scanned with the same
+patterns and goes on the worklist itself, until no new layer appears. A layer whose text was already seen on its way from the source is a cycle and is
 not followed. Compressed data is inflated to its end, all members of it, in overlapping layers of bounded size. Hits that hold a decoded character become added spans over their source range; base spans always stay.
 
-Offsets are code points, ends exclusive. A null text is an empty one: no spans, and the hash of the empty string. Null or
-repeated doc_ids are handled row by row, an empty table gives no rows, other columns are ignored.
+Offsets are code points, ends exclusive. A null text is an empty one: no spans, and the hash of the empty string. A very
+long text is read whole. Spans that start together come in the order of KINDS. Null or repeated doc_ids are handled row by
+row, an empty table gives no rows, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +41,8 @@ _KEYWORDS = ("passw", "secret", "token", "key")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+#: Escapes of bytes as compressed data begins with, and what may follow in a URL.
+_URL_RUN = re.compile(r"(?:%1[Ff]%8[Bb]|x%(?:01|5[Ee]|9[Cc]|[Dd][Aa])|%78%(?:01|5[Ee]|9[Cc]|[Dd][Aa]))[A-Za-z0-9%._~!$'()*+,;:@/-]*")
 _NUMBER = re.compile(r"[0-9A-Fa-f]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Lines of one base64 text: single line breaks, indentation after them.
@@ -45,6 +50,11 @@ _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++
 _BREAK = re.compile(r"[\r\n \t]+")
 #: Bytes that are inflated at once, characters of one layer of what compressed data holds, and of the next one's overlap.
 PIECE, PART, OVERLAP = 1 << 16, 1 << 20, 1 << 17
+#: Text between bytes that are none: the shortest secret and what says it is one are longer.
+_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+_WIDE = (re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12,}"), re.compile(rb"(?:\0[\t\n\r\x20-\x7e]){12,}"))
+#: How compressed data begins in base64, after a character that may end what came before it.
+_PACKED = re.compile(r"(?<=[/_+-])(?:H4sI|eJ|eA|eN|eF)")
 
 
 def scan(text: str) -> list[Span]:
@@ -250,26 +260,74 @@ def _wrapped(run: str, start: int) -> list[tuple[str, list[int]]]:
     return out
 
 
-def _unpacked(layer: Layer, body: str, places: range | list[int]) -> Iterator[Layer]:
+def _bytes(body: str) -> bytes | None:
     if len(body) % 4 == 1:
-        return
+        body = body[:-1]
     try:
-        data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
+        return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
     except binascii.Error:
-        return
+        return None
+
+
+def _inflated_layers(layer: Layer, data: bytes, start: int, end: int) -> Iterator[Layer]:
+    """Layers of compressed data; each of their characters came from all of it."""
     if depth := _depth(data):
-        start, end = layer.starts[places[0]], max(layer.ends[p] for p in places)
         for text in _texts(_stage(data, depth)):
             if _legible(text):
                 yield Layer(text, [start] * len(text), [end] * len(text), [True] * len(text), layer.seen)
-    elif (text := _readable(data)) is not None:
-        starts, ends, at, last = [], [], 0, len(body)
+
+
+def _unpacked(layer: Layer, body: str, places: range | list[int]) -> Iterator[Layer]:
+    if (data := _bytes(body)) is None:
+        return
+    whole = len(body) % 4 != 1
+
+    def span(at: int, n: int, shift: int) -> tuple[int, int]:
+        """Source range of n bytes from `at` on, decoded from body[shift:]."""
+        last = at + n - 1
+        return layer.starts[places[shift + 4 * (at // 3) + at % 3]], layer.ends[places[min(len(body), shift + 4 * (last // 3) + last % 3 + 2) - 1]]
+
+    if whole and _compressed(data):
+        found = False
+        for x in _inflated_layers(layer, data, layer.starts[places[0]], max(layer.ends[p] for p in places)):
+            found = True
+            yield x
+        if found:
+            return
+    elif whole and (text := _readable(data)) is not None:
+        starts, ends, at = [], [], 0
         for c in text:
-            n = len(c.encode())
-            starts.append(layer.starts[places[4 * (at // 3) + at % 3]])
-            ends.append(layer.ends[places[min(last, 4 * ((at + n - 1) // 3) + (at + n - 1) % 3 + 2) - 1]])
+            a, b = span(at, n := len(c.encode()), 0)
+            starts.append(a)
+            ends.append(b)
             at += n
         yield Layer(text, starts, ends, [True] * len(text), layer.seen)
+        if "\0" not in text:
+            return
+    # other characters may come first, so that the groups of four begin elsewhere, and not all bytes need be text
+    for shift in range(4):
+        part = data if shift == 0 else _bytes(body[shift:])
+        if part is None:
+            continue
+        for pattern, step in ((_STRETCH, 1), *((w, 2) for w in _WIDE)):
+            if step == 2 and b"\0" not in part:
+                break
+            for m in pattern.finditer(part):
+                raw = m.group()
+                text = raw.replace(b"\0", b"").decode("ascii") if step == 2 else raw.decode("ascii")
+                ranges = [span(m.start() + step * i, step, shift) for i in range(len(text))]
+                yield Layer(text, [r[0] for r in ranges], [r[1] for r in ranges], [True] * len(text), layer.seen)
+    for m in _PACKED.finditer(body):
+        if (part := _bytes(body[m.start() :])) is not None and _compressed(part):
+            yield from _inflated_layers(layer, part, layer.starts[places[m.start()]], max(layer.ends[p] for p in places[m.start() :]))
+
+
+def _packed_escapes(layer: Layer) -> Iterator[Layer]:
+    """Layers of compressed data in URL escapes; characters between them stand for themselves, up to what no URL holds."""
+    for m in _URL_RUN.finditer(layer.text):
+        run = m.group()
+        if "%" in run and _compressed(data := unquote_to_bytes(run)):
+            yield from _inflated_layers(layer, data, layer.starts[m.start()], layer.ends[m.end() - 1])
 
 
 def decoded(layer: Layer) -> Iterator[Layer]:
@@ -278,6 +336,8 @@ def decoded(layer: Layer) -> Iterator[Layer]:
         yield x
     if ("\\" in layer.text or "&#" in layer.text) and (x := _escapes(layer, _UNICODE, _unicode)) and not x.cycle:
         yield x
+    if "%" in layer.text:
+        yield from (x for x in _packed_escapes(layer) if not x.cycle)
     yield from (x for x in _base64(layer) if not x.cycle)
 
 

@@ -11,7 +11,8 @@ Shares above `hot` fingerprints are dealt again: of budget + 1 blocks of the bit
 becomes shares that agree in two blocks, at a fixed cost however many rows there are. What is still above `hot`, such as
 many fingerprints around one, is split by a hash, and every pair of parts is its own share, which keeps the join whole.
 
-A null or empty text has fingerprint zero and links like any other. component_id is the smallest doc_id reachable; null
+A null or empty text has fingerprint zero and links like any other; a very long one is hashed whole, its bits counted in
+pieces. A bit that is set in just half of the hashes is 0. component_id is the smallest doc_id reachable; null
 doc_ids don't count towards it, and it is null only if the whole component has none. Repeated rows each get their row; an
 empty table gives no rows; other columns are ignored.
 """
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.llm.common import bounded_batches
+from graphspark.llm.common import bounded_batches, spread_join
 from graphspark.operators.components import connected_components
 from graphspark.session import cut, shuffle_width
 
@@ -238,12 +239,15 @@ def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFram
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of docs (doc_id, text)."""
     prints = cut(fingerprints(docs))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    roots = connected_components(links(distinct.select("fp"), budget), "a", "b")
-    rooted = distinct.join(roots.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    by_fp = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")))
+    roots = cut(connected_components(links(distinct.select("fp"), budget), "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("root")))
+    alone = distinct.join(roots, "fp", "left_anti").select("fp", F.col("first_doc").alias("component_id"), "n")
+    rooted = cut(distinct.join(roots, "fp"))
+    groups = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("members"))
+    grouped = spread_join(rooted.select("fp", "n", "root"), groups, ["root"], "members", rooted.count()).select("fp", "component_id", "n")
+    by_fp = cut(alone.union(grouped))
+    out = spread_join(prints, by_fp, ["fp"], "n", prints.count())
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, budget: int = BUDGET) -> DataFrame:

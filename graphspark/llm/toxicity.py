@@ -5,10 +5,12 @@ left out between. Weights are learned by FTRL-proximal with per-coordinate rates
 is a short list of (index, weight) that is sent to every task. Whole texts are scored.
 
 Learning takes only rows of `labels` with a toxic value whose crc32(doc_id as text) mod 5 is not 0, and of those about
-`sample_per_class` of each class at most (chosen by a hash of doc_id). A document's score never sees labels, lang, source
-or doc_id. A null or empty text has no features and scores by the bias alone. Null doc_ids count as the empty text for
-the remainder and are never learned from; repeated rows are each scored; without labels every score is 0.5 before the
-bias, so 0 is predicted; an empty table gives no rows; other columns are ignored.
+`sample_per_class` of each class at most (chosen by a hash of doc_id); of several labels of a doc_id the larger counts, of
+several texts the smallest, and of a text with more than `features_per_doc` features so many by a hash. A document's score
+never sees labels, lang, source or doc_id. A null or empty text has no features and scores by the bias alone; a very long
+one is scored whole. Null doc_ids count as the empty text for the remainder and are never learned from; repeated rows are
+each scored; where nothing can be learned every score is UNLEARNED, so 0 is predicted; equal scores need no order; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ BITS = 20
 HELD_OUT_MODULUS = 5
 #: Bound on the labelled documents of each class that are learned from.
 SAMPLE_PER_CLASS = 4_000
+#: Bound on the features of one of them.
+FEATURES_PER_DOC = 16_384
+#: The score of every text where there are no labels to learn from.
+UNLEARNED = 0.0
 #: Features that fewer sampled documents hold are not learned.
 LEAST_DOCS = 3
 EPOCHS = 8
@@ -88,12 +94,20 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, size: int, epochs: int
     return out, float(-z[-1] * ALPHA / (BETA + np.sqrt(n[-1])))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Indices and weights that are not zero, and the bias."""
+def sampled(found: np.ndarray, most: int) -> np.ndarray:
+    """At most so many of the sorted features, those with the smallest hashes."""
+    if len(found) <= most:
+        return found
+    h = (found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    return found[np.sort(np.argsort(h, kind="stable")[:most])]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, features_per_doc: int = FEATURES_PER_DOC) -> tuple[np.ndarray, np.ndarray, float]:
+    """Indices and weights that are not zero, and the bias: minus infinity where nothing can be learned."""
     usable = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (id_remainder("doc_id", HELD_OUT_MODULUS) != 0))
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     if not counts:
-        return np.zeros(0, np.int64), np.zeros(0), 0.0
+        return np.zeros(0, np.int64), np.zeros(0), -np.inf
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("toxic") == label, F.lit(sample_per_class / n)).otherwise(share)
@@ -102,15 +116,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([features(t or "").tobytes() for t in b.column(0).to_pylist()], type=pa.binary())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([sampled(features(t or ""), features_per_doc).tobytes() for t in b.column(0).to_pylist()], type=pa.binary())], schema=arrow)
 
     bounded_batches(docs.sparkSession)
     # The chosen ids are at most about 2 x sample_per_class: a bounded broadcast.
-    sample = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(run, "toxic int, indices binary")
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").mapInArrow(run, "toxic int, indices binary")
     rows = sorted((bytes(r["indices"]), r["toxic"]) for r in sample.toLocalIterator())
     examples, y = [np.frombuffer(r[0], np.uint32) for r in rows], np.array([r[1] for r in rows], float)
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0), 0.0
+        return np.zeros(0, np.int64), np.zeros(0), -np.inf
     seen = np.zeros(1 << BITS, np.int32)
     for e in examples:
         seen[e] += 1
@@ -142,7 +157,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_
             ready.extend((kept, dense, b))
         kept, dense, b = ready
         for batch in batches:
-            score = [1 / (1 + np.exp(-np.clip(dense[features(t or "", kept)].sum() + b, -35, 35))) for t in batch.column(2).to_pylist()]
+            if np.isinf(b):
+                score = [UNLEARNED] * batch.num_rows
+            else:
+                score = [1 / (1 + np.exp(-np.clip(dense[features(t or "", kept)].sum() + b, -35, 35))) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, type=pa.float64()), pa.array([int(s >= 0.5) for s in score], type=pa.int32())], schema=ARROW)
 
     bounded_batches(docs.sparkSession)

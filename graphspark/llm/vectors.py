@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>, h1, h2) of the vectors that take part: not null, not zero, all components finite.
+    """(vec_id, d, v array<double>, h1, h2) of the vectors that take part: not null, not empty, not zero, all components finite.
 
-    Of several dimensions the most frequent takes part (ties: the smaller). h1 and h2 name the vector's value; -0.0 counts
-    as 0.0. Rows that repeat a vec_id with an equal vector count once.
+    d is the dimension; h1 and h2 name the vector's value; -0.0 counts as 0.0. Rows that repeat a vec_id with an equal
+    vector count once.
     """
     v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    rows = rows.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
-    return rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2")).dropDuplicates(["vec_id", "h1", "h2"])
+    return rows.select("vec_id", F.size("v").alias("d"), "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2")).dropDuplicates(["vec_id", "h1", "h2"])
+
+
+def dimensions(rows: DataFrame) -> list[int]:
+    """The dimensions that occur in what `usable` gives; vectors of different dimensions have nothing to do with each other."""
+    return sorted(r["d"] for r in rows.select("d").distinct().collect())
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -84,6 +84,40 @@ def test_neighbours_odd(spark):
     assert ann.neighbours(frame.limit(0)).count() == 0
 
 
+def test_neighbours_hard(spark):
+    """Numbers whose squares overflow or vanish, two dimensions, ties, repeats, clashing columns, joined hashes."""
+    big = [(0, [1e200, 1e200]), (100, [1e200, 1.5e200]), (1, [-1e308, 1e308]), (2, [1e-200, 0.0]), (3, [3e-200, 0.0]), (200, [2e-200, 0.0]), (4, [1.0, 1.0])]
+    other = [(300, [1.0, 0.0, 0.0]), (5, [1.0, 1.0, 0.0]), (6, [1.0, 0.0, 1.0]), (6, [1.0, 0.0, 1.0]), (7, [0.0, 0.0, 9.0])]
+    frame = spark.createDataFrame([(i, v, 0, i, i) for i, v in big + other], "vec_id long, embedding array<double>, label int, place long, query_id long")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.neighbours(frame).collect()}
+    assert got[0, 1] == (100, pytest.approx(0.5e200)) and got[0, 6][0] == 1
+    assert got[200, 1] == (2, pytest.approx(1e-200, rel=1e-9, abs=0)) and got[200, 2] == (3, pytest.approx(1e-200, rel=1e-9, abs=0))
+    assert [got[300, r][0] for r in (1, 2, 3)] == [5, 6, 7] and (300, 4) not in got
+
+
+def test_joined_hashes(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS", 4)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 16)) * 0.3
+    assert len(ann.Polytope(16, buckets=375).axes) == 2 and ann.Polytope(16, buckets=375).buckets >= 375
+    p = ann.Polytope(16, buckets=375)
+    assert (p.order(x[:50], 2, 7)[:, 0] == p.bucket(x[:50], 2)).all()
+    assert (p.order(x[:50], 2, 7) == p.order(x[:50], 2)[:, :7]).all()
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.neighbours(frame, every=30).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(got[q] & set(exact(x, q)[0])) for q in range(0, 1500, 30)]) >= 9.5
+
+
+def test_near_duplicates_hard(spark):
+    """Two dimensions, clashing columns, a cosine of one, numbers whose squares overflow."""
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [1.0, 1.0, 0.0]), (4, [1.0, 1.0, 1e-3]), (5, [1.0, -1.0]), (6, [])]
+    frame = spark.createDataFrame([(i, v, i, i, i) for i, v in rows], "vec_id long, embedding array<double>, id long, grp long, n_links long")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in descent.near_duplicates(frame).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5), (6, 0, 6)]
+
+
 def test_rotations_keep_lengths():
     p = ann.Polytope(16)
     x = np.random.default_rng(0).normal(size=(5, 16))
