@@ -10,8 +10,10 @@ taken words are what of it these cover, so no document gives more than `most_rep
 Shards are fine hash buckets of about SHARD_DOCS documents of the whole table, merged by powers of two where a source is
 small, so no key holds more than a bounded share even if one source holds most rows. Texts are read once.
 
-A null or blank text has size 0 and takes 0. A null source is a source of its own. Null and repeated doc_ids are rows of
-their own (exact repeats share a place in the order); an empty table gives no rows; other columns are ignored.
+A null or blank text has size 0 and takes 0; a very long one is counted whole. A null source is a source of its own. Equal
+quotients go to the smaller key. Null and repeated doc_ids are rows of their own; exact repeats of a row are counted first
+and stand one after the other on the line, so that a row that is there very often is one place of it. An empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ SHARD_DOCS = 512
 #: A source gets another shard for so many blocks or documents.
 SHARD_BLOCKS = 1_024
 SEED = 42
+#: Exact repeats of a row that one task deals out at most.
+REPEATS = 4_096
 
 
 def size_of(text: Column) -> Column:
@@ -90,15 +94,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int =
     """doc_id, size, source, source_size, target, taken and row_hash (of doc_id, source and text) of every row of docs."""
     slim = cut(
         docs.select(docs["doc_id"].cast("long").alias("doc_id"), "source", size_of(docs["text"]).alias("size"), F.xxhash64(F.lit(seed), docs["doc_id"].cast("long"), "source", "text").alias("row_hash"))
+        .groupBy("doc_id", "source", "size", "row_hash")
+        .agg(F.count("*").alias("copies"))
+        .withColumn("words", F.col("size") * F.col("copies"))
         .withColumn("src", F.coalesce("source", F.lit("")))
         .withColumn("none", F.col("source").isNull())
     )
-    everything = slim.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
+    everything = slim.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
     fine = 1
     while fine * SHARD_DOCS < everything["rows"]:
         fine *= 2
     slim = slim.withColumn("fine", F.pmod(F.col("row_hash"), F.lit(fine)))
-    by_fine = cut(slim.groupBy("none", "src", "fine").agg(F.sum("size").alias("words"), F.count("*").alias("rows")))
+    by_fine = cut(slim.groupBy("none", "src", "fine").agg(F.sum("words").alias("words"), F.sum("copies").alias("rows")))
     by_source = by_fine.groupBy("none", "src").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("source_rows"))
     ranked = global_rank(by_source, [F.col("none"), F.col("src")], "place")
     turn = F.array(*map(F.lit, weights))
@@ -117,7 +124,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int =
     drawn = shards.select("place", "shard", "shard_words", words.alias("due"), start.cast("long").alias("from"))
     plan = fine_rows.select("none", "src", "fine", "place", "shard", "fine_start", "source_size", "target").join(drawn, ["place", "shard"])
     line = Window.partitionBy("none", "src", "fine").orderBy("row_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    row = slim.join(plan, ["none", "src", "fine"]).withColumn("b", F.col("fine_start") + F.sum("size").over(line)).withColumn("a", F.col("b") - F.col("size"))
+    row = slim.join(plan, ["none", "src", "fine"]).withColumn("first", F.col("fine_start") + F.sum("words").over(line) - F.col("words"))
+    row = _repeated(row).withColumn("a", F.col("first") + F.col("copy") * F.col("size")).withColumn("b", F.col("a") + F.col("size"))
     passes = F.when(F.col("shard_words") > 0, F.floor(F.col("due") / F.greatest("shard_words", F.lit(1)))).otherwise(0).cast("long")
     row = row.withColumn("passes", passes).withColumn("to", F.col("from") + F.col("due") - F.col("passes") * F.col("shard_words"))
 
@@ -129,6 +137,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int =
     return row.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), "row_hash")
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Each row `copies` times with `copy` from 0 on; rows that repeat often are dealt to several tasks."""
+    rows = cut(rows)
+    few = rows.where(F.col("copies") <= REPEATS).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    many = rows.where(F.col("copies") > REPEATS).withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(REPEATS).cast("long"))))
+    many = many.repartition("row_hash", "__from").withColumn("copy", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + REPEATS, F.col("copies")) - 1)))
+    return few.unionByName(many.drop("__from"))
+
+
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as the mix takes it, rounded to whole documents: a decision that takes effect.
 

@@ -73,6 +73,33 @@ def test_packing(spark, odd):
     assert packing.packing(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("step", [2_048, 8_192])
+def test_step_groups(spark, step):
+    """All groups of a partition are full but for its last two, which are even."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(2)
+    rows = packing.packing(docs, step_tokens=step).collect()
+    groups: dict = {}
+    for r in rows:
+        g = groups.setdefault(r["step_group"], {})
+        assert g.setdefault(r["sequence_id"], r["sequence_tokens"]) == r["sequence_tokens"]
+    by_part: dict = {}
+    for k, g in sorted(groups.items()):
+        by_part.setdefault(k >> 32, []).append(sum(g.values()))
+    assert len(by_part) == 2
+    for sums in by_part.values():
+        assert len(sums) > 4 and all(n == step for n in sums[:-2]) and min(sums[-2:]) >= step // 2 and max(sums) <= step
+
+
+def test_encoders_agree_on_any_characters():
+    """tiktoken with the file's vocabulary and tokenizers, over all planes and odd neighbours."""
+    rng = np.random.default_rng(0)
+    e = packing.Encoder.of(packing.default_tokenizer())
+    pool = [chr(c) for c in (*range(0, 0x250), 0x300, 0x5D0, 0x627, 0x0E01, 0x3042, 0x4E00, 0xAC00, 0xFE0F, 0x200D, 0x1F600, 0x10FFFF, 0xFFFD, 0x2028, 0x85, 0x3000)]
+    for _ in range(400):
+        text = "".join(rng.choice(pool, rng.integers(1, 60)))
+        assert e.ids(text) == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("run", [packing.BLANK_RUN - 1, packing.BLANK_RUN, 1_200_000])
 def test_long_blank_runs(run):
     encoder = packing.Encoder.of(packing.default_tokenizer())
@@ -165,7 +192,7 @@ def test_nested_secrets(inner):
 def test_decoding_ends():
     text = "%25" * 200 + base64.b64encode(b"A" * 300).decode()
     assert secrets.find(text)[0] == []
-    itself, secrets._inflated = secrets._inflated, lambda data: data if data[:2] == b"\x1f\x8b" else None
+    itself, secrets._inflated = secrets._inflated, lambda pieces: iter((b"".join(pieces),))
     try:  # compressed data that unpacks to itself
         assert secrets.find(base64.b64encode(b"\x1f\x8b" + b"A" * 40).decode())[1] == []
     finally:
@@ -272,6 +299,19 @@ def test_mixing(spark, odd):
     assert mixing.mixed(odd).columns == odd.columns
 
 
+def test_mixing_repeats(spark, monkeypatch):
+    """A row that is there very often is one place of the line; each of its copies has a taking of its own."""
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    rows = [(1, "the same row again", "a", 5)] * 500 + [(i, f"some words {i}", "ab"[i % 2], i) for i in range(2, 300)] + [(None, None, None, 0)] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] == 1 for r in got) == 500
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    for s in ("a", "b"):
+        taken, target = sum(r["taken"] for r in got if r["source"] == s), next(r["target"] for r in got if r["source"] == s)
+        assert abs(taken - target) <= max(20, 0.01 * target)
+
+
 def test_sainte_lague(spark):
     rng = np.random.default_rng(1)
     for seats in (0, 1, 7, 50, 1000):
@@ -296,6 +336,31 @@ def test_licences(spark):
     assert licenses.licence_scan(df.limit(0)).count() == 0
 
 
+def test_spdx_and_whole_files(spark):
+    mit = next(t for n, t in licenses.WHOLE if n == "mit")
+    rows = [
+        (1, "a/one.c", "// SPDX-License-Identifier: MIT\nint main;", "mit"),
+        (2, "a/two.py", "# SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+        (3, "a/b.c", "/* spdx-license-identifier: (GPL-2.0-or-later OR MIT) */", "gpl-2.0"),
+        (4, "a/c.c", "SPDX-License-Identifier: Zlib", None),
+        (5, "b/LICENSE", f"Copyright (c) 2031 Some One\n\n{mit[13:].replace('. ', '.' + chr(10))}", "mit"),
+        (6, "c/COPYING", "        GNU GENERAL PUBLIC LICENSE\n          Version 3, 29 June 2007\n\nEveryone is permitted to copy and distribute verbatim copies of this license document.", "gpl-3.0"),
+        (7, "c/d/e/f.c", "x = 1", None),
+        (8, "e/LICENSE.txt", "word " * 50_000 + "\nReleased under the BSD 3-Clause License.", "bsd-3-clause"),
+    ]
+    df = spark.createDataFrame([(i, p, t, 1, "x") for i, p, t, _ in rows], "doc_id long, path string, text string, n int, licence string")
+    got = {r["doc_id"]: r for r in licenses.licence_scan(df).collect()}
+    assert {i: got[i]["own_licence"] for i in got} == {i: own for i, _, _, own in rows}
+    assert (got[7]["licence"], got[7]["inherited_from"]) == ("gpl-3.0", "c") and got[4]["licence"] is None
+
+
+def test_licences_climb(spark):
+    """The paths that stand for those of documents are of three depths, and licences come down from each."""
+    rows = licenses.licence_scan(licenses.document_paths(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")), licence_file=F.lit(True)).where("inherited_from is not null").collect()
+    assert {r["inherited_from"].count("/") for r in rows} == {0, 1, 2}
+    assert any(r["path"].count("/") == 3 and r["inherited_from"].count("/") < 2 for r in rows)
+
+
 # --- learned operators
 
 def test_toxicity(spark, odd):
@@ -309,7 +374,29 @@ def test_toxicity(spark, odd):
     got = by_id(toxicity.toxicity(odd, labels))
     assert len(got[5]) == 2 and got[2][0]["score"] == got[3][0]["score"]
     assert toxicity.toxicity(odd.limit(0), labels).count() == 0
-    assert {r["score"] for r in toxicity.toxicity(odd, labels.limit(0)).collect()} == {0.5}
+    assert {(r["score"], r["predicted"]) for r in toxicity.toxicity(odd, labels.limit(0)).collect()} == {(0.0, 0)}
+
+
+#: So many different words of letters alone.
+MANY = " ".join("".join(chr(97 + int(d)) for d in f"{i:05d}") for i in range(60_000))
+
+
+def test_toxicity_samples(spark):
+    """Repeated ids and very long texts stay within the stated bounds, and one label for all is learned as such."""
+    docs = spark.createDataFrame([(i % 40, f"word{i % 7} " * (1 + i % 3), i) for i in range(400)] + [(41, MANY, 1)], "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(i, 1, "x") for i in range(42)] + [(3, 0, "x"), (3, None, "x"), (None, 1, "x")], "doc_id long, toxic int, text string")
+    rows = toxicity.toxicity(docs, labels).collect()
+    assert len(rows) == 401 and {r["predicted"] for r in rows} == {1}
+    found = toxicity.features(MANY)
+    some = toxicity.sampled(found, 100)
+    assert len(some) == 100 and set(some) <= set(found) and (np.diff(some.astype(int)) > 0).all()
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CLASSES", 2)
+    docs = spark.createDataFrame([(1, "ein Text", "de"), (3, "a text", "en"), (4, "un texte", "fr")], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.train(docs)
 
 
 def test_ftrl_learns_sparse_weights():
@@ -389,6 +476,40 @@ def test_mixed_addresses(text):
     assert pii.redact(whole) == "write to <EMAIL> now"
 
 
+@pytest.mark.parametrize("text", ["jo [at]\nexample [dot] com", "jo at\nexample dot com", "jo at example dot\n  com", "jo\r\nat example dot com"])
+def test_broken_addresses(text):
+    assert [s[0] for s in pii.find(text)[1]] == ["email"] and pii.redact(f"write {text} now") == "write <EMAIL> now"
+
+
+def test_hyphenated_digits():
+    assert [s[0] for s in pii.find("call:plus-one-two-three-four-five-six-seven-eight-nine-zero")[1]] == ["phone"]
+    assert pii.find("at\nnoon. dot\nand at\nnight")[1] == []
+
+
+_SECRET = b"password=hunter2secret"
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        urllib.parse.quote(gzip.compress(_SECRET)),
+        urllib.parse.quote(zlib.compress(_SECRET)),
+        base64.b64encode(_SECRET.decode().encode("utf-16")).decode(),
+        base64.b64encode(_SECRET.decode().encode("utf-16-be")).decode(),
+        "data/" + base64.b64encode(_SECRET).decode(),
+        "some/dir/" + base64.b64encode(b"x" * 30 + _SECRET).decode(),
+        "data/" + base64.b64encode(gzip.compress(_SECRET)).decode(),
+        base64.b64encode(b"\x00" + _SECRET + b"\xff\xfe").decode(),
+        base64.b64encode(b"\xff" * 50 + _SECRET + b"\x01" * 50).decode(),
+        base64.b64encode(gzip.compress(b" " * 3_000_000 + _SECRET)).decode(),
+    ],
+)
+def test_more_layers(hidden):
+    base, every = secrets.find(f"see {hidden} end")
+    assert base == [] and "assign" in {s[0] for s in every}
+    assert all(4 <= s[1] < s[2] <= 4 + len(hidden) for s in every)
+
+
 @pytest.mark.parametrize("text", ["see us at example.com now", "available at example.com", "at noon at v1.2 of it", "look at this.thing here", "end at line 3. Then dot the i"])
 def test_no_addresses(text):
     assert pii.find(text)[1] == []
@@ -404,3 +525,85 @@ def test_templates_match_themselves(spark):
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
     assert all(r["n"] for r in df.select((F.size(licenses.notices(df["text"])) > 0).alias("n")).collect())
     assert {r["doc_id"]: r["own_licence"] for r in licenses.licence_scan(df).collect()} == {k: name for k, (name, _) in enumerate(licenses.TEMPLATES)}
+
+
+# --- groups of similar texts
+
+
+def jaccard_groups(texts, least):
+    """Smallest key reachable by pairs of texts whose sets of five-word shingles are so similar, over all pairs."""
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for k, t in texts.items()}
+    root = {k: k for k in texts}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(texts)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if (not x and not y) or (x and y and min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) >= least * len(x | y)):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {k: find(k) for k in texts}
+
+
+def varied(seed, groups=25, size=6, words=200):
+    """Texts with copies of which up to a tenth of the words are others, and texts like no other."""
+    rng = np.random.default_rng(seed)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    texts, k = {}, 0
+    for g in range(groups):
+        base = [word() for _ in range(words)]
+        for c in range(size if g % 2 else 1):
+            w = list(base)
+            for _ in range(c * 2 if g % 4 == 1 else c * 5):
+                w[rng.integers(0, len(w))] = word()
+            texts[k] = " ".join(w)
+            k += 1
+    return texts
+
+
+@pytest.mark.parametrize("hot", [None, 8])
+def test_similar_texts(spark, monkeypatch, hot):
+    """What is clearly more similar than 0.8 is one group, what is clearly less is not; between, the signature decides."""
+    if hot:
+        monkeypatch.setattr(simhash, "WIDE_HOT", (hot, hot))
+    texts = varied(3) | {1000: None, 1001: "", 1002: " \n", 1003: "one two", 1004: "One  two", 1005: "one three"}
+    rows = [(k, t, k, 7) for k, t in texts.items()] + [(3, texts[3], 0, 0), (None, texts[5], 0, 0), (None, "only here " * 9, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sig long, component long")
+    got = simhash.deduplicated(df)
+    assert got.columns == df.columns
+    ids = [r["doc_id"] for r in got.collect()]
+    assert len(ids) == len(set(ids)) and None in ids
+    kept = set(ids) - {None}
+    sure, possible = jaccard_groups(texts, 0.88), jaccard_groups(texts, 0.66)
+    assert kept <= {k for k, g in sure.items() if k == g} and kept >= {k for k, g in possible.items() if k == g}
+    assert len(kept) < len(texts) - 20 and simhash.deduplicated(df.limit(0)).count() == 0
+
+
+def test_signatures():
+    """Differing bits follow the similarity of the sets; tables grow with the number of texts and find what they should."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(3000)]
+    a = " ".join(words)
+    for swaps in (0, 20, 60):
+        b = list(words)
+        for i in rng.choice(3000, swaps, replace=False):
+            b[i] = f"x{i}"
+        x, y = (np.frombuffer(simhash.signature(t, 16), np.uint64) for t in (a, " ".join(b)))
+        shared = len({*zip(*(words[i:] for i in range(5)))} & {*zip(*(b[i:] for i in range(5)))})
+        want = simhash.differing(shared / (2 * 2996 - shared)) * 1024
+        assert abs(int(np.bitwise_count(x ^ y).sum()) - want) <= 50
+    assert simhash.signature(None, 3) == simhash.signature(" ", 3) == bytes(24)
+    for n in (0, 100, 10**6, 10**9):
+        bits, tables = simhash.tables(n, 0.8)
+        p = simhash.differing(0.8)
+        pairs = rng.random((4000, tables, bits)) < p if bits * tables < 400 else None
+        if pairs is not None:
+            assert (pairs.sum(axis=2) <= simhash.KEY_BUDGET).any(axis=1).mean() >= 0.98
+    h = rng.integers(0, 2**63, (1000, 2)).astype(np.uint64)
+    bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").astype(int).sum(axis=0)
+    assert (np.unpackbits(simhash.majority(h).view(np.uint8), bitorder="little") == (2 * bits > 1000)).all()
