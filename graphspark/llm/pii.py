@@ -86,9 +86,9 @@ _SPELLED = re.compile(rf"\b(?=[zotfsen])(?:plus[ -]+)?{_WORD}(?:(?:[ ,-]+|[ ]*(?
 _SPELLED_PLUS = re.compile(rf"\bplus[ -]+(?={_WORD}\b|[0-9])", re.I)
 _TOKEN = re.compile(r"plus|dot|point|[a-z]+|[0-9]|[ ,-]+|\.", re.I)
 #: White space within a disguise: blanks and one line end at most.
-_GAP = r"[ \t]*(?:\r?\n[ \t]*)?"
-_AT = re.compile(rf"{_GAP}[\[({{<]{_GAP}(?:at|@){_GAP}[\])}}>]{_GAP}", re.I)
-_DOT = re.compile(rf"{_GAP}[\[({{<]{_GAP}(?:dot|\.){_GAP}[\])}}>]{_GAP}", re.I)
+_GAP = r"[ \t]*+(?:\r?\n[ \t]*+)?"
+_AT = re.compile(rf"(?<![ \t]){_GAP}[\[({{<]{_GAP}(?:at|@){_GAP}[\])}}>]{_GAP}", re.I)
+_DOT = re.compile(rf"(?<![ \t]){_GAP}[\[({{<]{_GAP}(?:dot|\.){_GAP}[\])}}>]{_GAP}", re.I)
 _SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]++(?:(?:\.| dot )[a-z0-9_%+-]++)*+(?P<at>@| at )[a-z0-9-]++(?:(?:\.| dot )[a-z0-9-]++)++", re.I)
 _SAID_PART = re.compile(r"@|\.| at | dot ", re.I)
 _BARE = re.compile(r" at [a-z0-9-]++(?:\.[a-z0-9-]++)*(?:\.| dot )[a-z0-9-]")

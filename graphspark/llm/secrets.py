@@ -46,7 +46,7 @@ _URL_RUN = re.compile(r"(?:%1[Ff]%8[Bb]|x%(?:01|5[Ee]|9[Cc]|[Dd][Aa])|%78%(?:01|
 _NUMBER = re.compile(r"[0-9A-Fa-f]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Lines of one base64 text: single line breaks, indentation after them.
-_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _BREAK = re.compile(r"[\r\n \t]+")
 #: Bytes that are inflated at once, characters of one layer of what compressed data holds, and of the next one's overlap.
 PIECE, PART, OVERLAP = 1 << 16, 1 << 20, 1 << 17

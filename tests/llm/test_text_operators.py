@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -486,6 +487,15 @@ def test_hyphenated_digits():
     assert pii.find("at\nnoon. dot\nand at\nnight")[1] == []
 
 
+@pytest.mark.parametrize("run", ["0", " ", "a", "+", "%", "@", "=", "AKIA", "one ", "\n", "x/", "a.", "[at]", " at "])
+def test_long_runs_take_linear_time(run):
+    began = time.perf_counter()
+    for text in (run * 300_000, f"jo [at] {run * 300_000} [dot] x"):
+        pii.find(text)
+        secrets.find(text)
+    assert time.perf_counter() - began < 30
+
+
 _SECRET = b"password=hunter2secret"
 
 
