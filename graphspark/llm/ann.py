@@ -9,8 +9,8 @@ buckets are probed comes from an audit: a bounded sample of queries is answered
 taken that reach `recall` of the true neighbours. Queries left with too few neighbours are answered over every bucket.
 
 Every row is indexed. Of vectors with equal components only the k + 1 smallest vec_ids can be among a query's k nearest,
-so only these go on. Buckets are split into blocks of about BLOCK rows, which are held one at a time while the queries
-stream past; nothing but the audit's sample and the list of crowded buckets (at most tables x rows / BLOCK) goes to the driver.
+so only these go on. Buckets of over four times an even share (within BLOCK) are split into blocks of that size, which are
+held one at a time while the queries stream past; nothing but the audit's sample and the list of crowded buckets (at most tables x rows / 256) goes to the driver.
 
 Each dimension is a search of its own. Vectors that are null, empty, zero or hold null or non-finite components take no
 part, nor do null vec_ids. Of equal distances the smaller vec_id comes first. Rows that repeat a vec_id with an equal vector
@@ -33,7 +33,7 @@ from graphspark.session import cut, shuffle_width
 
 K = 10
 TABLES = 4
-BLOCK = 4_096
+BLOCK = 256, 4_096
 #: Rows of a bucket that the number of joined hashes aims at.
 ROWS = 1_024
 #: Queries of the audit, and the recall it aims at.
@@ -172,11 +172,12 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(queries: DataFrame, candidates: DataFrame, index: Polytope, probes: int, k: int) -> DataFrame:
-    """The k nearest of each query among the candidates of the buckets it probes."""
+def search(queries: DataFrame, candidates: DataFrame, count: int, index: Polytope, probes: int, k: int) -> DataFrame:
+    """The k nearest of each query among the `count` candidates that are in the buckets it probes."""
+    block = min(max(4 * count // index.buckets, BLOCK[0]), BLOCK[1])
     spark = candidates.sparkSession
     rows = cut(_placed(candidates, index, 0))
-    crowded = cut(rows.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("place", F.ceil(F.col("n") / BLOCK).cast("int").alias("ways")))
+    crowded = cut(rows.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > block).select("place", F.ceil(F.col("n") / block).cast("int").alias("ways")))
     crowded = F.broadcast(crowded) if crowded.count() <= CROWDED else crowded
     ways = F.coalesce("ways", F.lit(1))
     held = rows.join(crowded, "place", "left").select("place", salt(ways, "vec_id").alias("salt"), F.lit(False).alias("asks"), "vec_id", "v")
@@ -268,11 +269,11 @@ def _neighbours(rows: DataFrame, d: int, every: int, k: int, recall: float) -> D
     count = candidates.count()
     index = Polytope(d, buckets=-(-count // ROWS))
     probes = probes_needed(queries, candidates, index, k, recall)
-    found = cut(_top(search(queries, candidates, index, probes, k), k))
+    found = cut(_top(search(queries, candidates, count, index, probes, k), k))
     due = min(k, rows.select("vec_id").distinct().count() - 1)
     short = queries.join(found.groupBy("query_id").agg(F.count("*").alias("n")), queries["vec_id"] == F.col("query_id"), "left").where(F.coalesce("n", F.lit(0)) < due).select("vec_id", "v")
     if due > 0 and not short.isEmpty():
         exact = Polytope(d, tables=1)
-        again = _top(search(short, candidates, exact, exact.buckets, k), k)
+        again = _top(search(short, candidates, count, exact, exact.buckets, k), k)
         found = found.join(again.select("query_id").distinct(), "query_id", "left_anti").select(*again.columns).union(again)
     return found
