@@ -164,10 +164,16 @@ def licence_scan(files: DataFrame, licence_file: Column | None = None, least: fl
     folders = votes.groupBy("folder").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("own_licence").alias("l"))).alias("b")).select(F.col("folder").alias("ancestor"), F.col("b.l").alias("folder_licence"))
     parts = F.split("folder", "/")
     upwards = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("ancestor")))
-    above = every.where(F.col("own_licence").isNull() & F.col("folder").isNotNull()).select("folder").distinct().select("folder", F.inline(upwards))
+    bare = every.where(F.col("own_licence").isNull())
+    placed = cut(bare.where(F.col("folder").isNotNull()).groupBy("folder").agg(F.count("*").alias("n")))
+    above = placed.select("folder", F.inline(upwards))
     nearest = above.join(folders, "ancestor").groupBy("folder").agg(F.max(F.struct("depth", "ancestor", "folder_licence")).alias("b")).select("folder", F.col("b.ancestor").alias("from"), F.col("b.folder_licence").alias("folder_licence"))
-    bare = every.where(F.col("own_licence").isNull()).join(nearest, "folder", "left").select("doc_id", "path", "own_licence", "own_score", F.col("folder_licence").alias("licence"), F.col("from").alias("inherited_from"))
-    return every.where(F.col("own_licence").isNotNull()).select("doc_id", "path", "own_licence", "own_score", F.col("own_licence").alias("licence"), F.lit(None).cast("string").alias("inherited_from")).union(bare)
+    lookup = cut(placed.join(nearest, "folder", "left"))
+    inherited = spread_join(bare.where(F.col("folder").isNotNull()), lookup, ["folder"], "n", placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    columns = ["doc_id", "path", "own_licence", "own_score"]
+    none = F.lit(None).cast("string")
+    own = every.where(F.col("own_licence").isNotNull()).select(*columns, F.col("own_licence").alias("licence"), none.alias("inherited_from"))
+    return own.union(inherited.select(*columns, "folder_licence", "from")).union(bare.where(F.col("folder").isNull()).select(*columns, none, none))
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
