@@ -416,3 +416,17 @@ def _classes_linked(rows: DataFrame, threshold: float, k: int) -> DataFrame:
     whole = whole.where("root is not null")
     least = whole.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count("*").alias("members"))
     return alone.union(spread_join(whole, least, ["root"], "members", whole.count()).select(*h, "n", "n_links", "component_id"))
+
+
+def oracle_sql() -> str:
+    """All pairs, and the smallest vec_id spread along the links."""
+    return f"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+c AS (SELECT vec_id AS n, vec_id AS r FROM embeddings UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.n WHERE c.r < l.b),
+least AS (SELECT n, min(r) AS component_id FROM c GROUP BY n), links AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON n = vec_id LEFT JOIN links ON a = vec_id
+"""

@@ -56,4 +56,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_mixing, op3_toxicity, op4_descent, op5_packing, op6_langid, op7_pii, op8_secrets, op9_ann, op10_simhash)}
 
-ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle_sql(), "op4_descent": descent.oracle_sql()}
