@@ -152,7 +152,7 @@ def write_query(g: PropertyGraph, q) -> tuple[PropertyGraph, QueryStats]:
                 links.append((a, b, e.types[0] if e.types else DEFAULT_EDGE_TYPE, json.dumps(dict(e.props), sort_keys=True)))
         if bindings is None:
             bindings = g.spark.range(1).select()
-            numbered, times = g.spark.range(1).select(F.lit(0).cast("long").alias("__row")), 1
+            numbered, times = cut(g.spark.range(0, 1, 1, 1).select(F.col("id").alias("__row"))), 1  # written: ids known to the planner turn the joins of RETURN into products
         else:
             from graphspark.operators.ranking import global_rank
 
@@ -171,7 +171,7 @@ def write_query(g: PropertyGraph, q) -> tuple[PropertyGraph, QueryStats]:
         g = g.plus(cut(union(nodes)) if nodes else None, cut(union(edges)) if edges else None)
         if q.items:
             ids = {v: F.lit(base) + F.col("__row") * width + n for v, n in made.items()} | {v: F.lit(first) + F.col("__row") * len(links) + n for v, n in made_edges.items()}
-            stats.rows = returned(g, q, numbered.select(*(F.col(f"{v}__id") for v in sorted(matched)), *(c.alias(f"{v}__id") for v, c in ids.items())), set(made_edges) | (edge_vars if q.paths else set()))
+            stats.rows = returned(g, q, numbered.select(*(F.col(f"{v}__id") for v in sorted(matched)), *(c.alias(f"{v}__id") for v, c in ids.items())), set(made_edges) | (edge_vars if q.paths else set()), {*made, *made_edges})
     for k, (target, _) in enumerate(q.sets):
         if not isinstance(target.of, X.Var) or target.of.name not in matched:
             raise AnalysisError("SET needs a property of a matched variable")
@@ -195,8 +195,17 @@ def write_query(g: PropertyGraph, q) -> tuple[PropertyGraph, QueryStats]:
     return g, stats
 
 
-def returned(g: PropertyGraph, q, ids: DataFrame, edge_vars: set[str]) -> DataFrame:
-    """The RETURN of a write: `ids` has a column <variable>__id for each variable, looked up in the new snapshot where more is asked."""
+def _newest(g: PropertyGraph) -> PropertyGraph:
+    """Only the rows that came last; the other tables, empty, still decide the types of properties."""
+    last = lambda tables: (*(replace(t, df=t.df.where(F.lit(False))) for t in tables[:-1]), *tables[-1:])
+    return replace(g, node_tables=last(g.node_tables), edge_tables=last(g.edge_tables))
+
+
+def returned(g: PropertyGraph, q, ids: DataFrame, edge_vars: set[str], made: set[str]) -> DataFrame:
+    """The RETURN of a write: `ids` has a column <variable>__id for each variable, looked up in the new snapshot where more is asked.
+
+    What was created (`made`) is in the newest tables, so no others are read for it.
+    """
     from graphspark.plans import syntax as X
     from graphspark.plans.compiler import Compiler
 
@@ -204,6 +213,7 @@ def returned(g: PropertyGraph, q, ids: DataFrame, edge_vars: set[str]) -> DataFr
         def bindings(self, _):
             rows = ids.select(*(F.col(c).alias(f"__at_{c}") for c in ids.columns))
             for v in (c.removesuffix("__id") for c in ids.columns):
+                self.graph = _newest(g) if v in made else g
                 self.needs[v].add("id")
                 if v in edge_vars:
                     scan = self.edge_scan(X.EdgePattern(v, (), (), "out"), v, (), ())[0].drop("__from", "__to")

@@ -107,6 +107,23 @@ def test_create_returns(harbours):
     assert [tuple(r) for r in stats.rows.collect()] == [("Lisbon", 4, 1), ("Oslo", 6, 1), ("Oslo", 9, 1)]
 
 
+def test_create_returns_from_what_it_made(spark):
+    """No product of the tables' partitions, and none of the other tables is read for the rows returned."""
+    from graphspark.tables import star_graph
+
+    asked = 'CREATE (a:Person {name: "Dan"})-[e:KNOWS]->(b:Person {name: "Eve"}), (c:Person {name: "Fay"})-[f:KNOWS]->(b) RETURN a.name, type(e), b.name, c.name, type(f), a.acctbal'
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, stats = star_graph(spark, "/root/testdata/sf0.001").query(asked)
+        plan = stats.rows._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan and not stats.rows.inputFiles()
+        assert [tuple(r) for r in stats.rows.collect()] == [("Dan", "KNOWS", "Eve", "Fay", "KNOWS", None)]
+        assert stats.rows.dtypes[-1][1] == "double"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_changes_keep_typed_tables(spark):
     """No pass over the whole graph for the types of its properties, and filters still reach the scans."""
     from graphspark.graph import CHANGES
